@@ -65,4 +65,42 @@ SELECT doc_id, words::bigint AS n_words, word_chars, n_symbols::bigint AS n_symb
 FROM r
 """
 
-SQL: dict[str, str] = {"op2_quality_rules": OP2}
+OP5 = rf"""
+WITH z AS (
+  SELECT doc_id AS d, source AS s, len(regexp_extract_all(coalesce(text, ''), '[^{_WS}]+'))::bigint AS z FROM documents),
+src AS (
+  SELECT s, n, [3, 1, 2][((row_number() OVER (ORDER BY s ASC NULLS LAST) - 1) % 3 + 1)::int] AS w,
+         [-0.5, 0.0, 0.5]::double[][((row_number() OVER (ORDER BY s ASC NULLS LAST) - 1) % 3 + 1)::int] AS b
+  FROM (SELECT s, sum(z)::bigint AS n FROM z GROUP BY s)),
+lv AS (
+  SELECT *, (n * 2)::double / w AS r,
+         (sum(n) OVER ())::double * 1.5::double - 2 * coalesce(sum(n) OVER o, 0)::double AS remain,
+         (sum(w) OVER ()) - coalesce(sum(w) OVER o, 0) AS w_left
+  FROM src WINDOW o AS (ORDER BY (n * 2)::double / w, s ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lev AS (SELECT arg_min(remain / w_left, r) AS level FROM lv WHERE remain / w_left <= r),
+t AS (
+  SELECT s, n, b, CASE WHEN level IS NULL OR n * 2 <= w * level THEN (n * 2)::double ELSE w * level END AS target FROM lv, lev),
+x AS (
+  SELECT d, z.s, z, n, b, target, md5(coalesce(d::varchar, '')) AS h, z * 100 > n AS big,
+         greatest(0.0::double, least(target, n::double)) AS b0, greatest(0.0::double, least(target - n, n::double)) AS b1
+  FROM z JOIN t ON z.s IS NOT DISTINCT FROM t.s),
+p AS (
+  SELECT *, coalesce(sum(z) OVER (PARTITION BY s, big ORDER BY CASE WHEN big THEN -z ELSE 0 END, h, d, z
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS pre FROM x),
+hd AS (
+  SELECT s, coalesce(max(CASE WHEN pre + z <= b0 THEN pre + z END), 0) AS l0, coalesce(max(CASE WHEN pre + z <= b1 THEN pre + z END), 0) AS l1
+  FROM p WHERE big GROUP BY s),
+y AS (SELECT p.*, coalesce(l0, 0) AS l0, coalesce(l1, 0) AS l1 FROM p LEFT JOIN hd ON p.s IS NOT DISTINCT FROM hd.s),
+c AS (
+  SELECT *, CASE WHEN big THEN pre + z <= l0 ELSE l0 + pre + z / 2.0::double <= b0 END AND z > 0 AS c0,
+         CASE WHEN big THEN pre + z <= l1 ELSE l1 + pre + z / 2.0::double <= b1 END AND z > 0 AS c1,
+         least(1.0::double, (pre + CASE WHEN big THEN 0 ELSE l0 END + z / 2.0::double) / target) AS u0,
+         least(1.0::double, (n + pre + CASE WHEN big THEN 0 ELSE l1 END + z / 2.0::double) / target) AS u1
+  FROM y)
+SELECT d AS doc_id, z AS size, n AS source_size, target, z * (c0::int + c1::int) AS taken,
+       round(CASE WHEN c0 THEN 2 * u0 / (1 - b + sqrt((1 - b) * (1 - b) + 4 * b * u0))
+                  WHEN c1 THEN 2 * u1 / (1 - b + sqrt((1 - b) * (1 - b) + 4 * b * u1)) END, 9) AS first_position
+FROM c
+"""
+
+SQL: dict[str, str] = {"op2_quality_rules": OP2, "op5_mixing_sources": OP5}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality
+from tessera.llm import licences, mixing, pieces, quality, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,26 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_read(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(_read(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_mixing_sources": op5_mixing_sources,
+    "op7_token_counts": op7_token_counts,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_license_scans": op10_license_scans,
 }
