@@ -70,7 +70,7 @@ WITH z AS (
   SELECT doc_id AS d, source AS s, len(regexp_extract_all(coalesce(text, ''), '[^{_WS}]+'))::bigint AS z FROM documents),
 src AS (
   SELECT s, n, [3, 1, 2][((row_number() OVER (ORDER BY s ASC NULLS LAST) - 1) % 3 + 1)::int] AS w,
-         [-0.5, 0.0, 0.5]::double[][((row_number() OVER (ORDER BY s ASC NULLS LAST) - 1) % 3 + 1)::int] AS b
+         (CAST([-0.5, 0.0, 0.5] AS double[]))[((row_number() OVER (ORDER BY s ASC NULLS LAST) - 1) % 3 + 1)::int] AS b
   FROM (SELECT s, sum(z)::bigint AS n FROM z GROUP BY s)),
 lv AS (
   SELECT *, (n * 2)::double / w AS r,
