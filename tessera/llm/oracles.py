@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.lines import MIN_WORDS
 from tessera.llm.quality import RULES, STOP_WORDS
 
 _WS = r"\x20\x09-\x0D"
@@ -65,6 +66,29 @@ SELECT doc_id, words::bigint AS n_words, word_chars, n_symbols::bigint AS n_symb
 FROM r
 """
 
+OP4 = rf"""
+WITH l AS (
+  SELECT doc_id AS d, i, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+        FROM documents WHERE doc_id IS NOT NULL)
+  WHERE regexp_matches(line, '[^{_WS}]')),
+long AS (SELECT * FROM l WHERE n >= {MIN_WORDS}),
+v AS (
+  SELECT d, i, n, j, array_to_string(list_concat(w[1 : j - 1], w[j + 1 : n]), ' ') AS k FROM long, unnest(range(1, n + 1)) AS u(j)),
+gone AS (
+  SELECT d, i FROM l QUALIFY (d, i) > min((d, i)) OVER (PARTITION BY line)
+  UNION SELECT d, i FROM v QUALIFY (d, i) > min((d, i)) OVER (PARTITION BY k, j, n)
+  UNION SELECT v.d, v.i FROM v JOIN long t ON v.k = t.line AND v.n = t.n + 1 WHERE (v.d, v.i) > (t.d, t.i)
+  UNION SELECT t.d, t.i FROM v JOIN long t ON v.k = t.line AND v.n = t.n + 1 WHERE (t.d, t.i) > (v.d, v.i)),
+g AS (SELECT d, list(i) AS gone FROM gone GROUP BY d)
+SELECT doc_id,
+       CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)),
+            lambda x, i: NOT list_contains(gone, i - 1)), chr(10)), '') END AS text,
+       len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')))::bigint AS n_lines,
+       coalesce(len(gone), 0)::bigint AS n_removed
+FROM documents LEFT JOIN g ON doc_id = d
+"""
+
 OP5 = rf"""
 WITH z AS (
   SELECT doc_id AS d, source AS s, len(regexp_extract_all(coalesce(text, ''), '[^{_WS}]+'))::bigint AS z FROM documents),
@@ -103,4 +127,4 @@ SELECT d AS doc_id, z AS size, n AS source_size, target, z * (c0::int + c1::int)
 FROM c
 """
 
-SQL: dict[str, str] = {"op2_quality_rules": OP2, "op5_mixing_sources": OP5}
+SQL: dict[str, str] = {"op2_quality_rules": OP2, "op4_line_dedup": OP4, "op5_mixing_sources": OP5}
