@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard, licences, lines, mixing, pieces, pseudonyms, quality, token_counts
+from tessera.llm import html_text, jaccard, licences, lines, mixing, pieces, pseudonyms, quality, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing_sources": op5_mixing_sources,
+    "op6_html_extraction": op6_html_extraction,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_license_scans": op10_license_scans,
