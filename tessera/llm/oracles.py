@@ -66,6 +66,34 @@ SELECT doc_id, words::bigint AS n_words, word_chars, n_symbols::bigint AS n_symb
 FROM r
 """
 
+OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_WS}]+') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 90 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(d, c) AS (SELECT a, a FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d),
+m AS (SELECT d, min(c) AS c FROM r GROUP BY d)
+SELECT documents.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, coalesce(m.c, documents.doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.d = documents.doc_id
+"""
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank, vec_id, score FROM p
+QUALIFY rank <= 20
+"""
+
 OP4 = rf"""
 WITH l AS (
   SELECT doc_id AS d, i, line, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n
@@ -127,4 +155,4 @@ SELECT d AS doc_id, z AS size, n AS source_size, target, z * (c0::int + c1::int)
 FROM c
 """
 
-SQL: dict[str, str] = {"op2_quality_rules": OP2, "op4_line_dedup": OP4, "op5_mixing_sources": OP5}
+SQL: dict[str, str] = {"op2_quality_rules": OP2, "op3_ngram_jaccard_join": OP3, "op4_line_dedup": OP4, "op5_mixing_sources": OP5, "op9_exact_topk": OP9}

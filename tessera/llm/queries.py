@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import html_text, jaccard, licences, lines, mixing, pieces, pseudonyms, quality, token_counts
+from tessera.llm import html_text, jaccard, licences, lines, mixing, nearest, pieces, pseudonyms, quality, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_read(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_token_counts": op7_token_counts,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_exact_topk": op9_exact_topk,
     "op10_license_scans": op10_license_scans,
 }
