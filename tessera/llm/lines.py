@@ -8,12 +8,12 @@ any word stay, and so does every document, be it with an empty text.
 A line's neighbourhood is itself and all its variants with one word deleted, as 64-bit keys. Lines that differ by a
 replaced word share the variant that lacks the same place; where one has a word more, its variant equals the other
 line. So the earliest line of a key (of a key and place) stands for all of them: groups are aggregated before the
-shuffle and never paired. Each removal is then verified on the words of the two lines.
+shuffle and never paired: a first pass finds the keys of several lines, a second one their rows. Each removal is then verified on the words of the two lines.
 
 To emit variants of those lines only that can have a neighbour, a lossless filter comes first: the one edit lies in one
 half of a line, so its neighbours share the other half. Lines of which no half occurs in a different line are out. The
-rest is kept as a bitmap of fixed size (2 ** ``BITS`` bits), which is broadcast; where it fills up on huge inputs, more
-variants are emitted, with the same result.
+rest is told by bitmaps of fixed size (2 ** ``BITS`` bits), which are broadcast; where they fill up on huge inputs, more
+rows pass to the exact joins that follow, with the same result.
 
 Defined results: null and empty texts stay as they are, and so do texts of documents without an id; equal places (rows
 that share a doc_id) don't count as earlier, so repeated rows are treated alike; extra columns pass through, whatever
@@ -22,6 +22,8 @@ their names; an empty table gives an empty result. Lines of any length are read
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,19 +37,45 @@ HAS_WORD = r"trim(BOTH ' \t\r\f\u000b' FROM {}) <> ''"
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(pos, line, h) of each line with a word. pos orders lines over all documents."""
+    """(d, i, line, h) of each line with a word: its document, its number, its text and hash."""
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t")).filter("d is not null")
     rows = rows.select("d", F.posexplode(F.split("t", "\n")).alias("i", "line")).filter(HAS_WORD.format("line"))
-    pos = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("i")
-    return rows.select(pos.cast("decimal(38,0)").alias("pos"), "line", F.xxhash64("line").alias("h"))
+    return rows.select("d", "i", "line", F.xxhash64("line").alias("h"))
+
+
+def _place(seen: DataFrame) -> tuple[Callable[[Column, Column], Column], Callable[[Column], list[Column]]]:
+    """One number that orders (d, i), and its inverse: a long where ids and line numbers leave room, else a decimal."""
+    r = seen.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("i").alias("lines")).first()
+    lo, hi, width = r["lo"] or 0, r["hi"] or 0, 1 << ((r["lines"] or 0) + 1).bit_length()
+    kind = "long" if (hi - lo + 1) * width < 1 << 62 else "decimal(38,0)"
+    to = lambda d, i: ((d.cast("decimal(20,0)") - lo).cast(kind) * F.lit(width).cast("long") + i).cast(kind)
+    if kind == "long":
+        to = lambda d, i: (d - F.lit(lo)) * F.lit(width).cast("long") + i
+    return to, lambda p: [(F.floor(p / width) + lo).cast("long") if kind != "long" else F.shiftright(p, width.bit_length() - 1) + F.lit(lo), (p % width).cast("int")]
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """(r, bits): a bitmap of the column ``k``, of 2 ** BITS bits in all whatever the number of keys."""
+    bit = F.pmod(F.col("k"), F.lit(1 << BITS))
+    rows = keys.select(F.shiftright(bit, _ROW).cast("int").alias("r"), bit.bitwiseAND(F.lit((1 << _ROW) - 1)).alias("bit"))
+    return rows.groupBy("r").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _in_bitmap(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """The rows whose ``k`` may be in the bitmap."""
+    bit = F.pmod(F.col("k"), F.lit(1 << BITS))
+    x = rows.withColumn("r", F.shiftright(bit, _ROW).cast("int")).join(F.broadcast(bitmap), "r")
+    at = bit.bitwiseAND(F.lit((1 << _ROW) - 1))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return x.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("r", "bits")
 
 
 def _half_keys() -> Column:
     """Keys of both halves of a line of n words, as one that has n - 1 words' neighbour and as one that has n + 1's."""
     keys = []
     for m in ("n", "(n - 1)"):
-        keys.append(f"xxhash64(slice(w, 1, int({m} / 2)), {m}, 1)")
-        keys.append(f"xxhash64(slice(w, int(n - {m} + int({m} / 2) + 1), int({m} - int({m} / 2))), {m}, 2)")
+        keys.append(f"xxhash64(substring_index(line, ' ', int({m} / 2)), {m}, 1)")
+        keys.append(f"xxhash64(substring_index(line, ' ', int({m} / 2) - {m}), {m}, 2)")
     return F.when(F.col("n") >= MIN_WORDS, F.expr(f"array({', '.join(keys)})"))
 
 
@@ -56,44 +84,60 @@ def _with_words(lines: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(pos, of): the lines to remove, each with the earlier line that it repeats."""
+    """(d, i, of_d, of_i): the lines to remove, by document and number, each with the earliest line that it repeats."""
     lines = _lines(docs, id_col, text)
-    seen = table(_with_words(lines).select("pos", "h", F.xxhash64("line", F.lit(1)).alias("h2"), _half_keys().alias("halves")), "lines")
+    counted = lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
+    seen = table(counted.select("d", "i", "h", F.xxhash64("line", F.lit(1)).alias("h2"), _half_keys().alias("halves")), "lines")
+    place, back = _place(seen)
+    at = place(F.col("d"), F.col("i"))
 
-    first = seen.groupBy("h", "h2").agg(F.min("pos").alias("of"), F.max("pos").alias("last")).filter("of < last").drop("last")
-    equal = seen.select("pos", "h", "h2").join(first, ["h", "h2"]).filter("of < pos").select("pos", "of")
+    first = seen.select(at.alias("pos"), "h", "h2")
+    low = first.groupBy("h", "h2").agg(F.min("pos").alias("of"), F.max("pos").alias("last")).filter("of < last").drop("last")
+    equal = table(first.join(low, ["h", "h2"]).filter("of < pos").select("pos", "of"), "equal")
 
-    halves = seen.select("h", F.explode("halves").alias("k"))
+    halves = seen.select(at.alias("pos"), "d", "h", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("k")
-    bit = F.pmod(F.col("h"), F.lit(1 << BITS))
-    marked = halves.join(shared, "k", "left_semi").select((bit / (1 << _ROW)).cast("int").alias("r"), (bit % (1 << _ROW)).alias("bit"))
-    bitmap = marked.groupBy("r").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-    probe = _lines(docs, id_col, text).withColumn("r", (bit / (1 << _ROW)).cast("int")).join(F.broadcast(bitmap), "r")
-    at = bit % (1 << _ROW)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = _with_words(probe.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select("pos", "line")).filter(F.col("n") >= MIN_WORDS)
-    near = table(near, "near")
-
-    # place -1 is the whole line
-    variants = near.select("pos", F.posexplode(F.expr("""
-        concat(array(xxhash64(line)), transform(sequence(1, n), i -> xxhash64(
-          array_join(IF(i = 1, slice(w, 2, n), IF(i = n, slice(w, 1, n - 1), concat(slice(w, 1, i - 1), slice(w, i + 1, n)))), ' '))))""")).alias("i", "k"))
-    variants = variants.withColumn("i", F.col("i") - 1)
-    earliest = table(variants.groupBy("k", "i").agg(F.min("pos").alias("low"), F.max("pos").alias("high")), "earliest")
-    replaced = earliest.filter("i >= 0 AND low < high").select("k", "i", F.col("low").alias("of"))
-    both = earliest.groupBy("k").agg(F.min(F.when(F.col("i") < 0, F.col("low"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("low"))).alias("cut"))
-    inserted = both.filter("whole is not null AND cut is not null").select("k", F.explode(F.array(
-        F.struct(F.lit(True).alias("is_whole"), F.col("cut").alias("of")), F.struct(F.lit(False).alias("is_whole"), F.col("whole").alias("of")))).alias("x"))
-    inserted = inserted.select("k", "x.is_whole", "x.of")
-    tagged = variants.withColumn("is_whole", F.col("i") < 0)
-    pairs = tagged.join(replaced, ["k", "i"]).select("pos", "of").union(tagged.join(inserted, ["k", "is_whole"]).select("pos", "of"))
+    # only the first of equal lines can remove another line or be removed for being near one
+    some = _in_bitmap(halves, _bitmap(shared)).select("pos", "d", "h").distinct()
+    some = table(some.join(equal, "pos", "left_anti"), "some")
+    marked = _in_bitmap(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t")).withColumn("k", F.xxhash64("d")), _bitmap(some.select(F.xxhash64("d").alias("k"))))
+    near = _in_bitmap(_lines(marked, "d", "t").withColumn("k", F.col("h")), _bitmap(some.select(F.col("h").alias("k"))))
+    near = near.select(at.alias("pos"), "line").join(some.select("pos"), "pos", "left_semi")
+    near = table(_with_words(near).drop("line"), "near")
+
+    # keys of several places first, then the rows of those keys
+    variants = _variants(near)
+    several = variants.groupBy("k").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a < b").select("k")
+    several = table(several, "keys")
+    met = table(_in_bitmap(variants, _bitmap(several)).join(several, "k", "left_semi").select("k", "i", "pos"), "met")
+
+    replaced = met.filter("i >= 0").groupBy("k", "i").agg(F.min("pos").alias("of"))
+    ends = met.groupBy("k").agg(F.min(F.when(F.col("i") < 0, F.col("pos"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("pos"))).alias("cut"))
+    pairs = met.join(replaced, ["k", "i"]).select("pos", "of")
+    pairs = pairs.union(met.join(ends, "k").select("pos", F.when(F.col("i") < 0, F.col("cut")).otherwise(F.col("whole")).alias("of")))
     pairs = pairs.filter("of < pos").distinct()
 
     a = near.select("pos", F.col("w").alias("a"), F.col("n").alias("na"))
     b = near.select(F.col("pos").alias("of"), F.col("w").alias("b"), F.col("n").alias("nb"))
     checked = pairs.join(a, "pos").join(b, "of").filter(_one_edit("a", "na", "b", "nb")).select("pos", "of")
-    return equal.union(checked).groupBy("pos").agg(F.min("of").alias("of"))
+    x = equal.union(checked).groupBy("pos").agg(F.min("of").alias("of"))
+    return x.select(*[c.alias(n) for c, n in zip([*back(F.col("pos")), *back(F.col("of"))], ("d", "i", "of_d", "of_i"), strict=True)])
+
+
+def _variants(near: DataFrame) -> DataFrame:
+    """(pos, i, k): the key of a line without its word i, and of the whole line at i = -1.
+
+    A key is the exclusive or of the hashes of (word, place). Let e be such a hash at the word's own place combined with
+    the one at the place before; then the line without word i has the e of all words before i, and the shifted hashes of
+    the words after it. The running combination of e takes log n passes over the array, so a variant costs no more than
+    these, however long the line.
+    """
+    x = near.select("pos", "n", F.expr("transform(w, (x, j) -> xxhash64(x, j - 1))").alias("b"), F.expr("transform(w, (x, j) -> xxhash64(x, j))").alias("a"))
+    x = x.select("pos", "n", "b", F.expr("aggregate(b, 0L, (z, y) -> z ^ y)").alias("all"), F.expr("""
+        aggregate(sequence(0, int(ceil(log2(n)))), zip_with(a, b, (x, y) -> x ^ y), (p, s) ->
+          transform(p, (y, j) -> IF(j >= shiftleft(1, s), y ^ p[j - shiftleft(1, s)], y)))""").alias("e"))
+    keys = F.expr("concat(array(all ^ e[n - 1]), transform(b, (y, j) -> all ^ y ^ IF(j > 0, e[j - 1], 0L)))")
+    return x.select("pos", F.posexplode(keys).alias("i", "k")).withColumn("i", F.col("i") - 1)
 
 
 def _one_edit(a: str, na: str, b: str, nb: str) -> Column:
@@ -108,8 +152,7 @@ def _one_edit(a: str, na: str, b: str, nb: str) -> Column:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` without the removed lines; with ``counts`` also n_lines and n_removed (of lines with a word)."""
-    gone = removals(docs, id_col, text).select((F.floor(F.col("pos") / (1 << 31))).cast("long").alias("__d"), (F.col("pos") % (1 << 31)).cast("int").alias("i"))
-    gone = gone.groupBy("__d").agg(F.collect_set("i").alias("__gone"))  # within one document
+    gone = removals(docs, id_col, text).groupBy(F.col("d").alias("__d")).agg(F.collect_set("i").alias("__gone"))  # within one document
     x = docs.join(gone, F.col(id_col).cast("long") == F.col("__d"), "left")
     left = F.expr(f"CASE WHEN __gone IS NULL THEN `{text}` ELSE array_join(filter(split(`{text}`, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n') END")
     n_lines = F.expr(rf"size(filter(split(coalesce(`{text}`, ''), '\n'), l -> {HAS_WORD.format('l')}))").cast("long").alias("n_lines")
