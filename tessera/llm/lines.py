@@ -33,7 +33,7 @@ MIN_WORDS = 5
 #: 2**27 bits: 16 MB, in rows of 2**15.
 BITS = 27
 _ROW = 15
-HAS_WORD = r"trim(BOTH ' \t\r\f\u000b' FROM {}) <> ''"
+HAS_WORD = r"{} rlike '[^ \\t\\r\\f\\x0b]'"
 
 
 def _lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -70,13 +70,19 @@ def _in_bitmap(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
     return x.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("r", "bits")
 
 
-def _half_keys() -> Column:
-    """Keys of both halves of a line of n words, as one that has n - 1 words' neighbour and as one that has n + 1's."""
-    keys = []
-    for m in ("n", "(n - 1)"):
-        keys.append(f"xxhash64(substring_index(line, ' ', int({m} / 2)), {m}, 1)")
-        keys.append(f"xxhash64(substring_index(line, ' ', int({m} / 2) - {m}), {m}, 2)")
-    return F.when(F.col("n") >= MIN_WORDS, F.expr(f"array({', '.join(keys)})"))
+def _half_keys(lines: DataFrame) -> DataFrame:
+    """Adds ``halves``: keys of both halves of a line of n words, as n - 1 words' neighbour (a, b) and as n + 1's (c, d).
+
+    Of the four substrings two are the same: with n odd the fronts, with n even the backs.
+    """
+    x = lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
+    enough = F.col("n") >= MIN_WORDS
+    x = x.withColumn("front", F.when(enough, F.expr("substring_index(line, ' ', int((n - 1) / 2))")))
+    x = x.withColumn("back", F.when(enough, F.expr("substring_index(line, ' ', -int(n / 2))")))
+    return x.withColumn("halves", F.when(enough, F.expr("""array(
+        xxhash64(front, n - 1, 1), xxhash64(back, n - 1, 2),
+        xxhash64(IF(n % 2 = 1, front, substring_index(line, ' ', int(n / 2))), n, 1),
+        xxhash64(IF(n % 2 = 0, back, substring_index(line, ' ', -int(n / 2) - 1)), n, 2))""")))
 
 
 def _with_words(lines: DataFrame) -> DataFrame:
@@ -86,8 +92,7 @@ def _with_words(lines: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, i, of_d, of_i): the lines to remove, by document and number, each with the earliest line that it repeats."""
     lines = _lines(docs, id_col, text)
-    counted = lines.withColumn("n", F.expr("octet_length(line) - octet_length(replace(line, ' ', '')) + 1"))
-    seen = table(counted.select("d", "i", "h", F.xxhash64("line", F.lit(1)).alias("h2"), _half_keys().alias("halves")), "lines")
+    seen = table(_half_keys(lines).select("d", "i", "h", F.xxhash64("line", F.lit(1)).alias("h2"), "halves"), "lines")
     place, back = _place(seen)
     at = place(F.col("d"), F.col("i"))
 
