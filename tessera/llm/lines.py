@@ -103,7 +103,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     halves = seen.select(at.alias("pos"), "d", "h", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("k")
     # only the first of equal lines can remove another line or be removed for being near one
-    some = _in_bitmap(halves, _bitmap(shared)).select("pos", "d", "h").distinct()
+    some = table(_in_bitmap(halves, _bitmap(shared)).select("pos", "d", "h").distinct(), "halves")
     some = table(some.join(equal, "pos", "left_anti"), "some")
     marked = _in_bitmap(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t")).withColumn("k", F.xxhash64("d")), _bitmap(some.select(F.xxhash64("d").alias("k"))))
     near = _in_bitmap(_lines(marked, "d", "t").withColumn("k", F.col("h")), _bitmap(some.select(F.col("h").alias("k"))))
