@@ -15,8 +15,8 @@ Within an article only containers (lists, tables, divisions, not paragraphs or h
 paragraphs may recur innocently; and a subtree with half of a page's text or more is content however often it recurs.
 
 Counting: surroundings are made distinct before they are counted, with a partial aggregation on either side of the
-shuffle, by host and hash, so a host with many pages is spread over all tasks. Only hashes over the threshold are kept;
-a host has no more of them than the subtrees of a page divided by the share that each must reach.
+shuffle, by host and hash, so a host with many pages is spread over all tasks. Only hashes over the threshold are kept and
+meet the pages by host, in ``SALTS`` parts a host; a host has no more of them than the subtrees of a page divided by the share that each must reach.
 
 Defined results: null and empty html give an empty text; a null or unparsable url counts as one host; repeated rows count
 as pages of their own and get a row each; texts of any length are read whole; extra columns are ignored; an empty table
@@ -39,6 +39,8 @@ from tessera.llm.runtime import table
 #: A subtree is a template when it occurs on MIN_PAGES pages and on MIN_SHARE of its host's pages at least.
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: Parts over which the pages of a host are dealt when they meet its templates.
+SALTS = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -294,6 +296,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
     often = counts.filter("h <> 0").join(size, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages"))
     # at most (subtrees of a page) / MIN_SHARE hashes a host, whatever the number of its pages
     templates = often.groupBy("host").agg(F.collect_set("h").alias("templates"))
+    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,5 +309,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
                 texts.append(text_of(root))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    x = p.join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    salted = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    x = salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
     return x.mapInArrow(read, "page_id long, url string, text string, n_chars long")
