@@ -53,13 +53,21 @@ def queries(spark: SparkSession, sf_dir: str, chars: int = QUERY_CHARS) -> DataF
 
 
 def positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc): documents that hold the passage; found by their shared first words, then verified."""
-    d = read(spark, sf_dir, "documents")
-    b = read(spark, sf_dir, "benchmark")
-    # passages are as many as the benchmark has; each document is searched once for all of them
-    passages = b.agg(F.collect_list(F.struct("item_id", "text")).alias("all"))
-    hits = F.filter("all", lambda p: F.contains(F.col("text"), p["text"]))
-    return d.crossJoin(F.broadcast(passages)).select(F.col("doc_id").alias("doc"), F.explode(F.transform(hits, lambda p: p["item_id"])).alias("q")).select(F.col("q").cast("string").alias("query_id"), "doc")
+    """(query_id, doc): documents that hold the passage of three words or more.
+
+    The inner words of a passage stand between white space, so they are whole words of the document, too: the first few
+    of them are a key, and what meets there is verified.
+    """
+    inner = r"regexp_extract_all(text, r'[^\x20\x09-\x0D]+', 0)"
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), F.expr(inner).alias("w"))
+    b = b.filter("size(w) >= 3").withColumn("k", F.least(F.lit(5), F.size("w") - 2)).withColumn("key", F.expr("xxhash64(slice(w, 2, k))"))
+    sizes = [r["k"] for r in b.select("k").distinct().collect()]  # five at most
+    windows = F.array_distinct(F.concat(*[F.expr(f"IF(size(w) < {k}, array(), transform(sequence(1, size(w) - {k - 1}), i -> xxhash64(slice(w, i, {k}))))") for k in sizes]))
+    keys = d.select("doc_id", F.expr(inner).alias("w")).select("doc_id", F.explode(windows).alias("key"))
+    meet = keys.join(b.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
+    found = meet.join(d, "doc_id").join(b.select("item_id", "passage"), "item_id").filter(F.contains("text", "passage"))
+    return found.select(F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").alias("doc"))
 
 
 def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
