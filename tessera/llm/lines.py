@@ -12,7 +12,7 @@ shuffle and never paired: a first pass finds the keys of several lines, a second
 
 To emit variants of those lines only that can have a neighbour, a lossless filter comes first: the one edit lies in one
 half of a line, so its neighbours share the other half. Lines of which no half occurs in a different line are out. The
-rest is told by bitmaps of fixed size (2 ** ``BITS`` bits), which are broadcast; where they fill up on huge inputs, more
+rest is told by bitmaps of fixed size, which are broadcast; where they fill up on huge inputs, more
 rows pass to the exact joins that follow, with the same result.
 
 Defined results: null and empty texts stay as they are, and so do texts of documents without an id; equal places (rows
@@ -27,12 +27,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bitmaps
 from tessera.llm.runtime import table
 
 MIN_WORDS = 5
-#: 2**27 bits: 16 MB, in rows of 2**15.
-BITS = 27
-_ROW = 15
 HAS_WORD = r"{} rlike '[^ \\t\\r\\f\\x0b]'"
 
 
@@ -54,22 +52,6 @@ def _place(seen: DataFrame) -> tuple[Callable[[Column, Column], Column], Callabl
     return to, lambda p: [(F.floor(p / width) + lo).cast("long") if kind != "long" else F.shiftright(p, width.bit_length() - 1) + F.lit(lo), (p % width).cast("int")]
 
 
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """(r, bits): a bitmap of the column ``k``, of 2 ** BITS bits in all whatever the number of keys."""
-    bit = F.pmod(F.col("k"), F.lit(1 << BITS))
-    rows = keys.select(F.shiftright(bit, _ROW).cast("int").alias("r"), bit.bitwiseAND(F.lit((1 << _ROW) - 1)).alias("bit"))
-    return rows.groupBy("r").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def _in_bitmap(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """The rows whose ``k`` may be in the bitmap."""
-    bit = F.pmod(F.col("k"), F.lit(1 << BITS))
-    x = rows.withColumn("r", F.shiftright(bit, _ROW).cast("int")).join(F.broadcast(bitmap), "r")
-    at = bit.bitwiseAND(F.lit((1 << _ROW) - 1))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return x.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).drop("r", "bits")
-
-
 def _half_keys(lines: DataFrame) -> DataFrame:
     """Adds ``halves``: keys of both halves of a line of n words, as n - 1 words' neighbour (a, b) and as n + 1's (c, d).
 
@@ -103,10 +85,11 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     halves = seen.select(at.alias("pos"), "d", "h", F.explode("halves").alias("k"))
     shared = halves.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("k")
     # only the first of equal lines can remove another line or be removed for being near one
-    some = table(_in_bitmap(halves, _bitmap(shared)).select("pos", "d", "h").distinct(), "halves")
+    some = table(bitmaps.may_hold(halves, bitmaps.build(shared, "k"), "k").select("pos", "d", "h").distinct(), "halves")
     some = table(some.join(equal, "pos", "left_anti"), "some")
-    marked = _in_bitmap(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t")).withColumn("k", F.xxhash64("d")), _bitmap(some.select(F.xxhash64("d").alias("k"))))
-    near = _in_bitmap(_lines(marked, "d", "t").withColumn("k", F.col("h")), _bitmap(some.select(F.col("h").alias("k"))))
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t")).withColumn("k", F.xxhash64("d"))
+    texts = bitmaps.may_hold(texts, bitmaps.build(some.select(F.xxhash64("d").alias("k")), "k"), "k")
+    near = bitmaps.may_hold(_lines(texts, "d", "t"), bitmaps.build(some, "h"), "h")
     near = near.select(at.alias("pos"), "line").join(some.select("pos"), "pos", "left_semi")
     near = table(_with_words(near).drop("line"), "near")
 
@@ -114,7 +97,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     variants = _variants(near)
     several = variants.groupBy("k").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).filter("a < b").select("k")
     several = table(several, "keys")
-    met = table(_in_bitmap(variants, _bitmap(several)).join(several, "k", "left_semi").select("k", "i", "pos"), "met")
+    met = table(bitmaps.may_hold(variants, bitmaps.build(several, "k"), "k").join(several, "k", "left_semi").select("k", "i", "pos"), "met")
 
     replaced = met.filter("i >= 0").groupBy("k", "i").agg(F.min("pos").alias("of"))
     ends = met.groupBy("k").agg(F.min(F.when(F.col("i") < 0, F.col("pos"))).alias("whole"), F.min(F.when(F.col("i") >= 0, F.col("pos"))).alias("cut"))
