@@ -7,15 +7,21 @@ sketch is cut into more blocks than that, by a part of the hash, so linked sets
 join. Sizes lie in bands by a factor of 1/s; a pair spans two neighbouring bands at most, so each set is sketched for its
 own band (as the smaller or the equal) and for the one below (as the larger).
 
-Blocks with a few set bits say little, and unrelated sets would meet there. Sketches have ``SPARE`` more blocks than the
-bound needs: linked sets then agree on more than ``SPARE`` blocks, and a set may leave out its poorest blocks as long
-as they are no more than that. Sets with more of them keep all, so no link is lost.
+Blocks with a few set bits say little, and unrelated sets would meet there. So a sketch has m spare blocks (three for
+four that the bound needs), and a set leaves out its m weakest, by the number of set bits and then by a hash of the
+pattern. No link is lost: linked sets agree on more than m blocks, these rank alike in both, and the strongest of them
+has m weaker ones below it on either side.
+
+Before that, a filter leaves out most sets. Of a fixed share of all hashes (one and a half times what may differ), each
+shingle is counted: one that occurs in no second set is a difference to every other set. Sets with more of those than
+may differ link with nothing and aren't sketched.
 
 Sets that share a block form families (components over one star per block). Every family is verified in tiles: its
 members fall into chunks of bounded text by hash, and each pair of chunks is a task that intersects sets exactly and
 returns only a spanning forest of the links. Links so found give the components. No pairs are emitted within a group;
-exact copies are one set throughout, and of a bucket only its smallest member and its stars are ever joined. The
-sketches are written as a table, as are edges, so lost executors redo only what they held.
+exact copies are one set throughout, and of a bucket only its smallest member and its stars are ever joined: a first
+pass over the blocks finds those that several sets share, a bitmap of fixed size lets a second pass send only these.
+Keys, classes and edges are written as tables, so lost executors redo only what they held.
 
 Defined results: null or empty text has no shingles, links with nothing and is its own component; fewer than three words
 make one shingle of the whole sequence; each row is judged by its own text, also where rows share a doc_id (two texts
@@ -34,17 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bitmaps
 from tessera.llm.components import components
 from tessera.llm.runtime import table
 
 WORDS = 3
 #: Similarity in percent, as integers so that the test is exact.
 PERCENT = 90
-SPARE = 2
-POOR_BITS = 2
+#: Spare blocks for each that the bound needs.
+SPARE = 0.75
 #: Bits of a block, and shingles that a chunk of a family holds on average at most.
 BLOCK_BITS = 4096
-CHUNK = 200_000
+CHUNK = 1 << 16
 
 _U = np.uint64
 _MULS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
@@ -128,7 +135,8 @@ def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     keys = []
     for band in {own, max(own - 1, 0)}:
         top = int(lows[band + 1]) - 1  # the largest smaller set of this band, and its largest partner
-        blocks = most_differences(top, top * 100 // percent, percent) + 1 + SPARE
+        needed = most_differences(top, top * 100 // percent, percent) + 1
+        blocks = needed + int(needed * SPARE) if needed > 1 else 1
         h = mix(s, 1000 + band)
         bit = (h % _U(blocks)) * _U(BLOCK_BITS) + ((h >> _U(40)) % _U(BLOCK_BITS))
         bit, times = np.unique(bit, return_counts=True)
@@ -136,37 +144,60 @@ def block_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         at = (bit // _U(BLOCK_BITS)).astype(np.int64)
         code = np.zeros(blocks, np.uint64)
         np.bitwise_xor.at(code, at, mix(bit, 3))  # 64 bits for the pattern of a block
-        poor = np.bincount(at, minlength=blocks) <= POOR_BITS
-        used = ~poor if poor.sum() <= SPARE and not poor.all() else np.ones(blocks, bool)
-        keys.append(mix(code + mix(np.arange(blocks, dtype=np.uint64), band) * _U(3), band)[used])
+        code = mix(code + mix(np.arange(blocks, dtype=np.uint64), band) * _U(3), band)
+        strength = np.lexsort((code, np.bincount(at, minlength=blocks)))
+        keys.append(code[strength[blocks - needed :]])
     return np.concatenate(keys).view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str, text: str, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, keys) per row; keys are left out where the task has already given them for an equal set."""
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    sizes = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int64()))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of a bounded number of rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def part_of(s: np.ndarray, share: float) -> np.ndarray:
+    """The shingles of a fixed share of all hashes."""
+    return s[mix(s, 77) < _U(int(share * 2**64))]
+
+
+def sets_of(docs: DataFrame, words: int, share: float) -> DataFrame:
+    """(d, n, k1, k2, part) of rows (d, t): the size of a set, its key, and its shingles of a share of all hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            sets = [shingles((t.as_py() or "").encode(), words) for t in batch.column(1)]
+            keys = [set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _lists([part_of(s, share).view(np.int64) for s in sets])], ["d", "n", "k1", "k2", "part"])
+
+    return docs.mapInArrow(run, "d long, n long, k1 long, k2 long, part array<long>")
+
+
+def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(k1, keys) of rows (d, t): sketch blocks, once a task for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            n, k1, k2, keys, sizes = [], [], [], [], [0]
+        for batch in _pieces(batches):
+            k1, keys = [], []
             for t in batch.column(1):
                 s = shingles((t.as_py() or "").encode(), words)
                 k = set_key(s)
-                new = k not in seen and len(s)
-                if len(seen) >= 1 << 20:
-                    seen.clear()
-                seen.add(k)
-                b = block_keys(s, percent) if new else np.empty(0, np.int64)
-                n.append(len(s))
-                k1.append(k[0])
-                k2.append(k[1])
-                keys.append(b)
-                sizes.append(sizes[-1] + len(b))
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), lists], ["doc_id", "n", "k1", "k2", "keys"])
-
-    cols = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
-    return cols.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, keys array<long>")
+                if len(s) and k not in seen:
+                    if len(seen) >= 1 << 20:
+                        seen.clear()
+                    seen.add(k)
+                    k1.append(k[0])
+                    keys.append(block_keys(s, percent))
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), _lists(keys)], ["k1", "keys"])
+
+    return docs.mapInArrow(run, "k1 long, keys array<long>")
 
 
 def _links(sets: list[np.ndarray], names: list[int], left: list[int], right: list[int], percent: int) -> list[tuple[int, int]]:
@@ -206,22 +237,33 @@ def _links(sets: list[np.ndarray], names: list[int], left: list[int], right: lis
 
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
-    rows = table(sketches(docs, id_col, text, words, percent), "sketches")
-    ids = rows.select("doc_id", "n", "k1", "k2")
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
+    share = min(1.0, 1.5 * (100 - percent) / 100)
+    parts = sets_of(texts, words, share)
+    # a shingle that no other set has is a difference to each: a set with too many of them links with nothing
+    shared = parts.select("k1", F.explode("part").alias("h")).groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a < b")
+    common = bitmaps.may_hold(parts.select("d", "n", "k1", "k2", F.explode_outer("part").alias("h")), bitmaps.build(shared, "h"), "h")
+    common = common.groupBy("k1", "k2").agg(F.count("*").alias("shared"))
+    size = F.size("part").cast("long")
+    ids = table(parts.select(F.col("d").alias("doc_id"), "n", "k1", "k2", size.alias("part")), "ids")
     # one node per set: the smallest id among its rows
-    classes = ids.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
+    classes = ids.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("part").alias("part"), F.count("*").alias("rows"))
     classes = table(classes, "classes")
+    able = classes.join(common, ["k1", "k2"], "left").filter(100 * (F.col("n") - F.col("part") + F.coalesce(F.col("shared") / F.col("rows"), F.lit(0))) >= percent * F.col("n"))
+    able = table(able.select("k1", "node").filter("node is not null"), "able")
 
-    held = rows.select("k1", F.explode("keys").alias("key"))
+    chosen = bitmaps.may_hold(texts.withColumn("h", F.xxhash64("d")), bitmaps.build(able.select(F.xxhash64("node").alias("h")), "h"), "h").select("d", "t")
+    held = sketches(chosen, words, percent).select("k1", F.explode("keys").alias("key"))
     live = held.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("key", "low")
-    stars = held.join(live, "key").filter("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b")).distinct()
+    live = table(live, "live")
+    stars = bitmaps.may_hold(held, bitmaps.build(live, "key"), "key").join(live, "key")
+    stars = stars.filter("k1 <> low").select(F.col("k1").alias("a"), F.col("low").alias("b")).distinct()
     family = table(components(stars).withColumnsRenamed({"node": "k1", "component": "family"}), "families")
 
     members = classes.filter("node is not null").join(family, "k1").select("family", "node", "k1", "k2", "n")
     chunks = members.groupBy("family").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
     members = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2", F.lit(5)), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).cast("string").alias("t"))
-    found = texts.join(members, "node")
+    found = texts.withColumnRenamed("d", "node").join(members, "node")
     # a chunk meets each chunk of its family once
     tiled = found.select("family", "k1", "k2", "node", "t", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     tiled = tiled.select("family", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "k1", "k2", "node", "t")

@@ -210,6 +210,16 @@ def test_components(spark):
 # --- the pipeline
 
 
+def written(stage, path):
+    """The stage with its result written and reread, as the contract has it."""
+
+    def run(spark, docs, sf_dir):
+        stage(spark, docs, sf_dir).write.parquet(path)
+        return spark.read.parquet(path)
+
+    return run
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     corpus_pipeline = importlib.import_module("corpus_pipeline")
     from tessera.llm import pieces
@@ -224,7 +234,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     rows = [(i, t, "en", rnd.choice(["a", "b", None]), len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    stages = dict(corpus_pipeline.STAGES)
+    stages = {name: written(f, f"{tmp_path}/{i}") for i, (name, f) in enumerate(corpus_pipeline.STAGES)}
     assert list(stages) == ["quality rules", "line dedup", "near copies", "mixing", "tokens"]
 
     kept = stages["quality rules"](spark, docs, str(tmp_path))
