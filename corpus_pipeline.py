@@ -1,5 +1,6 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and reread as the next one's input.
 
+Since a stage's result is written before the next stage starts, each removes the scratch tables of the one before it.
 Every stage but the last returns the columns of ``documents``. A column ``n_chars`` follows the text where a stage edits
 it. Empty tables pass through; repeated rows stay rows of their own until the near-duplicate stage, which keeps the rows
 of one doc_id of each group.
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, lines, mixing, pieces, quality
-from tessera.llm.runtime import table
+from tessera.llm.runtime import scope, table
 
 #: The near-duplicate stage works on shingles of five words and a similarity of 80 % or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -19,28 +20,33 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality.keep_good(docs)
+    with scope(spark, "pipeline-quality"):
+        return quality.keep_good(docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents without lines that repeat an earlier one."""
-    out = lines.dedup(docs)
+    with scope(spark, "pipeline-lines"):
+        out = lines.dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard.keep_first(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    with scope(spark, "pipeline-near"):
+        return jaccard.keep_first(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out by their source's target, in training order."""
-    return mixing.mix(docs)
+    with scope(spark, "pipeline-mixing"):
+        return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document of the mix."""
-    return pieces.encode(docs)
+    with scope(spark, "pipeline-tokens"):
+        return pieces.encode(docs)
 
 
 STAGES = [
@@ -59,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"), "pipeline-results")
     return STAGES[-1][1](spark, docs, sf_dir)

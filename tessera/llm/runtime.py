@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+_scope: dict[str, str] = {}
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are written within belong to ``name``; those of the scope before it are removed.
+
+    For chains of operators of which each result is written before the next one starts. Outside of scopes, tables stay
+    until the session ends.
+    """
+    before = _scope.get("last")
+    if before and before != name:
+        _remove(spark, f"{scratch_dir(spark)}/{before}")
+    _scope["now"] = _scope["last"] = name
+    try:
+        yield
+    finally:
+        del _scope["now"]
+
+
+def table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Writes ``df`` into the shared folder and reads it back: lineage ends there, and any executor can read it."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{folder or _scope.get('now', 'tables')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
