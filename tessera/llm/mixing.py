@@ -33,6 +33,8 @@ WEIGHTS = (3, 1, 2)
 SLOPES = (-0.5, 0.0, 0.5)
 SHARE = 1.5
 CAP = 2
+#: The table of sources is broadcast up to this many rows (about 100 bytes each).
+BROADCAST_SOURCES = 50_000
 LARGE_PERCENT = 1
 
 
@@ -66,33 +68,37 @@ def targets(sized: DataFrame) -> DataFrame:
 def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False) -> DataFrame:
     """Per row: d (id), s, z (size), source_size, target, copies and their ``times``; with ``keep`` also the row as ``__row``."""
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep else []
-    rows = docs.select(F.col(id_col).alias("d"), F.col(source).cast("string").alias("s"), size_of(text).alias("z"), *own)
-    sizes = table(rows.select("d", "s", "z"), "sizes")  # texts are measured once for all sums below
-    t = targets(sizes).withColumnsRenamed({"s": "s2", "n": "source_size"})
+    # k is the source as a key without nulls, so that joins on it keep the partitions of the windows
+    key = F.coalesce(F.concat(F.lit("s"), F.col("s")), F.lit("n"))
+    rows = docs.select(F.col(id_col).alias("d"), F.col(source).cast("string").alias("s"), size_of(text).alias("z"), *own).withColumn("k", key)
+    sizes = table(rows.select("d", "s", "k", "z"), "sizes")  # texts are measured once for all sums below
+    t = targets(sizes).withColumnRenamed("n", "source_size").withColumn("k", key).drop("s")
     for c in range(CAP):
         t = t.withColumn(f"budget{c}", F.greatest(F.lit(0.0), F.least(F.col("target") - c * F.col("source_size"), F.col("source_size"))))
+    t = table(t, "targets")
+    few = t.count() <= BROADCAST_SOURCES
 
-    def placed(x: DataFrame) -> DataFrame:
-        """Adds the source's figures, the group of a row, and the words before it within the group."""
-        x = x.join(t, F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
+    def placed(x: DataFrame, sources: DataFrame) -> DataFrame:
+        """Adds the source's figures and the group of a row."""
+        x = x.join(F.broadcast(sources) if few else sources, "k")
         x = x.withColumn("h", F.md5(F.coalesce(F.col("d").cast("string"), F.lit(""))))
         large = F.col("z") * 100 > F.col("source_size") * LARGE_PERCENT
         return x.withColumn("g", F.when(large, F.lit("")).otherwise(F.substring("h", 1, 3))).withColumn("o", F.when(large, -F.col("z")).otherwise(0))
 
     def numbered(x: DataFrame) -> DataFrame:
-        inner = Window.partitionBy("s", "g").orderBy("o", "h", "d", "z").rowsBetween(Window.unboundedPreceding, -1)
+        """Adds the words before a row within its group."""
+        inner = Window.partitionBy("k", "g").orderBy("o", "h", "d", "z").rowsBetween(Window.unboundedPreceding, -1)
         return x.withColumn("at", F.coalesce(F.sum("z").over(inner), F.lit(0)))
 
-    known = placed(sizes)
+    known = placed(sizes, t)
     fits = [F.max(F.when(F.col("at") + F.col("z") <= F.col(f"budget{c}"), F.col("at") + F.col("z"))).alias(f"large{c}") for c in range(CAP)]
-    heads = numbered(known.filter("g = ''")).groupBy(F.col("s").alias("s4")).agg(*fits)  # 100 rows a source at most
-    run = Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
-    sums = known.filter("g <> ''").groupBy("s", "g").agg(F.sum("z").alias("gz"))
-    sums = sums.select(F.col("s").alias("s3"), F.col("g").alias("g3"), F.coalesce(F.sum("gz").over(run), F.lit(0)).alias("base"))
-
-    x = numbered(placed(rows))
-    x = x.join(sums, F.col("s").eqNullSafe(F.col("s3")) & (F.col("g") == F.col("g3")), "left")
-    x = x.join(heads, F.col("s").eqNullSafe(F.col("s4")), "left")
+    heads = numbered(known.filter("g = ''")).groupBy("k").agg(*fits)  # over 100 rows a source at most
+    t = table(t.join(heads, "k", "left"), "sources")
+    run = Window.partitionBy("k").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    sums = known.filter("g <> ''").groupBy("k", "g").agg(F.sum("z").alias("gz"))
+    sums = table(sums.select("k", "g", F.coalesce(F.sum("gz").over(run), F.lit(0)).alias("base")), "ranges")
+
+    x = numbered(placed(rows, t)).join(sums, ["k", "g"], "left")
     for c in range(CAP):
         head = F.coalesce(F.col(f"large{c}"), F.lit(0))
         at = F.col("at") + F.when(F.col("g") == "", 0).otherwise(head + F.coalesce(F.col("base"), F.lit(0)))
