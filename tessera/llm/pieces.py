@@ -7,8 +7,8 @@ exactly one piece qualifies at each position, and the result equals the merge pr
 merging the last piece and this one give just these two?" is answered once a pair and remembered.)
 
 No piece of the model runs past the end of a word (checked on loading; otherwise texts aren't cut), so words are
-encoded on their own and remembered, in tables that are emptied when they reach ``CACHE`` entries: memory is bounded
-and results don't depend on it. The model is read on the driver and shipped to the executors; its size is fixed.
+encoded on their own and remembered. Tables of what is remembered have two generations: when the newer is full it
+replaces the older, and what is still in use moves on, so memory is bounded and results don't depend on it. The model is read on the driver and shipped to the executors; its size is fixed.
 
 Characters outside the vocabulary become bytes (or the unknown piece in models without bytes). Decoding inverts this;
 ``exact`` tells whether it gave the very text. It doesn't where the text itself holds U+2581, which the format uses for
@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 1_000_000
+#: Words, and pairs of pieces, that a generation of the tables holds; there are two generations of each.
+CACHE = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -116,7 +117,9 @@ class Encoder:
         lines = "" if "\n" in self.chars else "\n"
         self.words = re.compile(f"{SPACE}*[^{SPACE}{lines}]+|{SPACE}+" + ("|\n+" if lines else "")) if cut else re.compile(".+", re.S)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.known_before: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.pairs_before: dict[int, bool] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNUSED) else (" ⁇ " if t == UNKNOWN else p.replace(SPACE, " ")).encode() for p, t in zip(model.pieces, model.types, strict=True)]
 
     def merge(self, text: str) -> list[int]:
@@ -130,15 +133,25 @@ class Encoder:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return [self.ids[p] for p in parts]
 
-    def stands(self, left: int, right: int) -> bool:
-        """Whether BPE leaves these two pieces apart."""
-        out = self.pairs.get((left, right))
+    def _pair(self, key: int, made: Callable[[], bool]) -> bool:
+        out = self.pairs.get(key)
         if out is None:
+            out = self.pairs_before.get(key)
+            if out is None:
+                out = made()
             if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            out = self.pairs[left, right] = self.merge(self.model.pieces[left] + self.model.pieces[right]) == [left, right]
+                self.pairs_before, self.pairs = self.pairs, {}
+            self.pairs[key] = out
         return out
 
+    def stands(self, left: int, right: int) -> bool:
+        """Whether BPE leaves these two pieces apart."""
+        return self._pair(left << 32 | right, lambda: self.merge(self.model.pieces[left] + self.model.pieces[right]) == [left, right])
+
+    def stands_alone(self, i: int) -> bool:
+        """Whether merging the piece's own text gives the piece (a few pieces can't be reached)."""
+        return self._pair(-1 - i, lambda: self.merge(self.model.pieces[i]) == [i])
+
     def _lost(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
 
@@ -168,13 +181,6 @@ class Encoder:
             n = start[n]
         return out[::-1]
 
-    def stands_alone(self, i: int) -> bool:
-        """Whether merging the piece's own text gives the piece (a few pieces can't be reached)."""
-        out = self.pairs.get((i, -1))
-        if out is None:
-            out = self.pairs[i, -1] = self.merge(self.model.pieces[i]) == [i]
-        return out
-
     def word(self, text: str) -> tuple[int, ...]:
         if all(map(self.single.__contains__, text)):
             return tuple(self._known_run(text))
@@ -189,6 +195,10 @@ class Encoder:
                 run = ""
         return tuple(out + (self._known_run(run) if run else []))
 
+    def rest(self) -> None:
+        """Between tasks a worker holds the newer generations only."""
+        self.known_before, self.pairs_before = {}, {}
+
     def encode(self, text: str) -> array:
         out = array("i")
         if not text:
@@ -200,10 +210,11 @@ class Encoder:
         for w in self.words.findall(text):
             ids = known.get(w)
             if ids is None:
-                ids = self.word(w)
-                if len(w) <= 64:
+                ids = self.known_before.get(w) or self.word(w)
+                if len(w) <= 32:
                     if len(known) >= CACHE:
-                        known.clear()
+                        self.known_before, known = known, {}
+                        self.known = known
                     known[w] = ids
             out.extend(ids)
         return out
@@ -247,6 +258,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text", model_fi
                     yield out()
                     ids, counts, exact, flat = [], [], [], array("i")
             yield out()
+        enc.rest()
 
     return docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(run, OUT)
 
