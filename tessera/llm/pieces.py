@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words, and pairs of pieces, that a generation of the tables holds; there are two generations of each.
-CACHE = 250_000
+CACHE = 500_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
