@@ -109,14 +109,14 @@ def _terms(q: DataFrame) -> DataFrame:
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
-    q, i = fx.queries(s, d, 10_000), fx.items(s, d)
+    q, i = fx.queries(s, d, None), fx.items(s, d)
     terms = bm25.query_terms(q.withColumn("search_infm_params_text", F.lit("")), DESCRIPTION)
     scores = bm25.lexical(bm25.postings(i, DESCRIPTION, terms), terms, DESCRIPTION)
     return best_docs(scores.withColumn("score", F.round("lexical", 6)), 50).select("query_id", "doc", "score", "rank")
 
 
-def _lexical(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q, i = fx.queries(s, d), fx.items(s, d)
+def _lexical(s: SparkSession, d: str, chars: int | None = fx.QUERY_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, i = fx.queries(s, d, chars), fx.items(s, d)
     terms = bm25.query_terms(q, C)
     return q, i, bm25.lexical(bm25.postings(i, C, terms), terms, C)
 
@@ -131,8 +131,8 @@ def bm25_base_topk(s: SparkSession, d: str) -> DataFrame:
     return best_docs(bm25.boosted(bm25.with_places(x, q, i, None), C, geography=False), 50).select("query_id", "doc", "score", "rank")
 
 
-def _geo(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    q, i, x = _lexical(s, d)
+def _geo(s: SparkSession, d: str, chars: int | None = fx.QUERY_CHARS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    q, i, x = _lexical(s, d, chars)
     signals = geo.edges(fx.nation_pairs(s, d), C)
     return q, i, x, signals, bm25.boosted(bm25.with_places(x, q, i, signals), C)
 
@@ -173,8 +173,8 @@ def dense_transition_topk(s: SparkSession, d: str) -> DataFrame:
     return dense.retrieve(fx.vectors(s, d), dense.linked_places(fx.vector_queries(s, d), links), 20, places="places")
 
 
-def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    q, i, x, signals, scored = _geo(s, d)
+def _candidates(s: SparkSession, d: str, chars: int | None = fx.QUERY_CHARS) -> tuple[DataFrame, ...]:
+    q, i, x, signals, scored = _geo(s, d, chars)
     qv = write_stage(fx.with_vectors(q, s, d, "item_id"), "queries")
     iv = write_stage(fx.with_vectors(i, s, d, "doc"), "items")
     lexical = write_stage(x, "lexical")
@@ -199,8 +199,8 @@ def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
     return candidates.fuse(candidates.pool(_candidates(s, d)[4], C), 50).select("query_id", "doc", "rrf", "rank")
 
 
-def _features(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
-    q, i, lexical, signals, c = _candidates(s, d)
+def _features(s: SparkSession, d: str, chars: int | None = fx.QUERY_CHARS) -> tuple[DataFrame, ...]:
+    q, i, lexical, signals, c = _candidates(s, d, chars)
     p = write_stage(candidates.pool(c, C), "pool")
     return q, i, p, features.build(p, q, i, lexical, signals, C)
 
@@ -264,7 +264,7 @@ def submission_stats(s: SparkSession, d: str) -> DataFrame:
 
 def lambdamart_topk(s: SparkSession, d: str) -> DataFrame:
     """The trained ranker's fifty best of each pool; few rounds, since each is a job over the training rows."""
-    _, _, _, f = _features(s, d)
+    _, _, _, f = _features(s, d, None)
     f = write_stage(sampling.labelled(f, fx.positives(s, d)), "features")
     few = Config(rounds=4, min_rows=5, min_gain=0.0, learning_rate=0.3, depth=4)
     model = ranker.train(sampling.with_positives(f), None, few)
