@@ -16,6 +16,10 @@ What only looks like one is left alone, since every candidate is validated first
 - secrets (token, key, secret, password = value of 16 or more characters with a digit): likewise; hexadecimal values
   stay so.
 
+A candidate is searched from every place where one may start, and ends where its longest valid part ends: a card, IBAN or
+telephone number is found before an expiry date, a year or a capital word. The search goes on behind a replaced part, and
+within candidates of which no part is valid.
+
 The network works on an array of small numbers with a radix each. The two halves take turns: a half gets added, number
 by number and modulo its radix, a pad that SHA-256 derives from the key, the format, the round and the other half. This
 can be undone whatever the pad is, so it is a permutation of exactly the values of that format.
@@ -41,13 +45,24 @@ IBAN = _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _
 DATE = _EDGE + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./\-][0-9])"
 SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"
 IP = r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])"
-PHONE = r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|" + _EDGE + r"(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4})" + _END
+PHONE = r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|" + _EDGE + r"(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4})" + _END + r"(?!\.[0-9])"
 CARD = r"(?<![\p{L}\p{N}\-])[0-9](?:[ \-]?[0-9]){12,18}" + _END
 PATTERN = "|".join((EMAIL, SECRET, IBAN, DATE, SSN, IP, PHONE, CARD))
+#: Every place where a candidate starts, also within others.
+STARTS = f"(?=({PATTERN}))"
 LIKELY = r"[0-9@=]"
+#: Bytes after which a text in the making is set aside, so that long texts aren't copied whole for each piece.
+CHUNK = 4096
 
 #: Visa, Mastercard, American Express, Discover, JCB, UnionPay, Diners.
 ISSUERS = r"^(4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|6011|64[4-9]|65|35(2[89]|[3-8])|62|3[068])"
+#: Characters of the IBANs of each country; elsewhere 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
 FIRST_DAY, DAYS, DAY_RADIX = "1800-01-01", 146097, (189, 773)
 _LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 _HEX = ("0123456789", "abcdef", "ABCDEF")
@@ -201,8 +216,35 @@ KINDS = (
 )
 
 
+def _valid_iban(v: Column) -> Column:
+    country, n = F.substring(v, F.lit(1), F.lit(2)), F.length(F.replace(v, F.lit(" ")))
+    known = F.create_map(*[F.lit(x) for k, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, k)])
+    return F.coalesce(n == F.try_element_at(known, country), n.between(15, 34)) & (_mod97(F.replace(v, F.lit(" "))) == 1)
+
+
+def _valid_card(v: Column) -> Column:
+    return _bind(_digits(v), lambda d: F.length(d).between(13, 19) & d.rlike(ISSUERS) & (_luhn(d) % 10 == 0))
+
+
+def _longest(m: Column, valid, apart: str = r"[ \-]") -> Column:
+    """The longest valid part of a candidate from its start to the end of a group; null where there is none."""
+    end = lambda i: F.substring(m, i, F.lit(1)).rlike(r"[\p{L}\p{N}]") & ((i == F.length(m)) | F.substring(m, i + 1, F.lit(1)).rlike(apart))
+    ends = F.filter(F.sequence(F.length(m), F.lit(1), F.lit(-1)), end)
+    return F.get(F.filter(F.transform(ends, lambda i: F.substring(m, F.lit(1), i)), valid), F.lit(0))
+
+
+def part(m: Column) -> Column:
+    """The part of a candidate that is to be replaced, where its kind leaves the end open."""
+    card = lambda x: _longest(x, _valid_card)
+    fits = lambda v: F.length(_digits(v)).between(8, 15) & v.rlike("^(?:" + PHONE + ")$")
+    # too many digits for a telephone number may be a card behind a plus sign
+    plus = F.when(F.length(_digits(m)) > 15, card(F.substring(m, F.lit(2), F.length(m))))
+    kind = kind_of(m)
+    return F.when(kind == "iban", _longest(m, _valid_iban)).when(kind == "card", card(m)).when(kind == "phone", F.when(plus.isNull(), _longest(m, fits, " "))).otherwise(m)
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of a candidate; null where it isn't valid."""
+    """The pseudonym of a part; null where it isn't valid."""
     out = None
     for _, test, made in KINDS:
         out = F.when(m.rlike(test), made(m, key)) if out is None else out.when(m.rlike(test), made(m, key))
@@ -220,13 +262,40 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool =
     """``docs`` with pseudonyms in its texts; with ``counts`` also n_found, n_replaced and their kinds."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     t = F.col(f"`{text}`")
-    found = F.when(t.rlike(LIKELY), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    x = docs.select(*own, found.alias("__m")).select(*own, "__m", F.transform("__m", lambda m: pseudonym(m, key)).alias("__p"))
-    parts = F.split(t, PATTERN)
-    woven = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.array(p, F.coalesce(F.get(F.col("__p"), i), F.get(F.col("__m"), i), F.lit(""))))), "")
-    new = F.when(F.exists("__p", lambda p: p.isNotNull()), woven).otherwise(t)
+    # a line break in front, so that no candidate stands at the start and there is one piece more than candidates
+    led = F.concat(F.lit("\n"), t)
+    found = F.when(t.rlike(LIKELY), F.regexp_extract_all(led, F.lit(STARTS), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    x = docs.select(*own, found.alias("__m")).select(*own, F.transform("__m", part).alias("__v"))
+    x = x.select(*own, F.transform("__v", lambda v: F.struct(F.length(v).alias("n"), pseudonym(v, key).alias("p"), kind_of(v).alias("kind"))).alias("__c"))
+    state = F.struct(
+        F.lit(0).alias("skip"), F.lit("").alias("text"), F.array().cast("array<string>").alias("done"),
+        F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("replaced"), F.array().cast("array<string>").alias("kinds"),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        """Appends a piece, with its candidate replaced; ``skip`` characters of it belong to a part already replaced."""
+        free, s, c = a["skip"] == 0, x["s"], x["c"]
+        take = free & c["p"].isNotNull()
+        gone = F.when(take, c["n"]).otherwise(a["skip"])
+        new = F.concat(a["text"], F.when(take, c["p"]).otherwise(""), F.substring(s, gone + 1, F.length(s)))
+        full = F.octet_length(a["text"]) > CHUNK
+        return F.struct(
+            F.greatest(F.lit(0), gone - F.length(s)).alias("skip"),
+            F.when(full, F.substring(new, F.length(a["text"]) + 1, F.length(new))).otherwise(new).alias("text"),
+            F.when(full, F.concat(a["done"], F.array(a["text"]))).otherwise(a["done"]).alias("done"),
+            (a["found"] + (free & c.isNotNull()).cast("long")).alias("found"),
+            (a["replaced"] + take.cast("long")).alias("replaced"),
+            F.when(take, F.array_union(a["kinds"], F.array(c["kind"]))).otherwise(a["kinds"]).alias("kinds"),
+        )
+
+    none = F.lit(None).cast("struct<n:int,p:string,kind:string>")
+    pieces = F.zip_with(F.split(led, STARTS), F.concat(F.array(none), F.col("__c")), lambda s, c: F.struct(s.alias("s"), c.alias("c")))
+    x = x.select(*own, F.size("__c").alias("__n"), F.when(F.exists("__c", lambda c: c["p"].isNotNull()), F.aggregate(pieces, state, step)).alias("__a"))
+    a = F.col("__a")
+    joined = F.concat(F.array_join(a["done"], ""), a["text"])
+    new = F.when(a.isNotNull(), F.substring(joined, F.lit(2), F.length(joined))).otherwise(t)
     more = []
     if counts:
-        kinds = F.zip_with("__m", "__p", lambda m, p: F.when(p.isNotNull(), kind_of(m)))
-        more = [F.greatest(F.size("__m"), F.lit(0)).cast("long").alias("n_found"), F.greatest(F.size(F.array_compact("__p")), F.lit(0)).cast("long").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(kinds))), ",").alias("kinds")]
+        found, replaced = F.coalesce(a["found"], F.greatest(F.col("__n"), F.lit(0)).cast("long")), F.coalesce(a["replaced"], F.lit(0).cast("long"))
+        more = [found.alias("n_found"), replaced.alias("n_replaced"), F.coalesce(F.array_join(F.array_sort(a["kinds"]), ","), F.lit("")).alias("kinds")]
     return x.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *more)

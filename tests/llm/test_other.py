@@ -73,6 +73,26 @@ def test_what_isnt_valid_stays(spark):
     assert replaced(spark, *texts) == texts
 
 
+def test_the_longest_valid_part_is_replaced(spark):
+    card, iban = replaced(spark, "4111 1111 1111 1111", "BE68 5390 0754 7034")
+    plain = iban.replace(" ", "")
+    pairs = [
+        ("4111 1111 1111 1111 12/25", card + " 12/25"),
+        ("4111 1111 1111 1111 123", card + " 123"),
+        ("9999 4111 1111 1111 1111 5", "9999 " + card + " 5"),  # a failed candidate covers its start
+        ("AB12 4111 1111 1111 1111", "AB12 " + card),
+        ("+4111 1111 1111 1111", "+" + card),
+        ("BE68 5390 0754 7034 BIC KREDBEBB", iban + " BIC KREDBEBB"),
+        ("BE68539007547034 2024 4111 1111 1111 1111 4111 1111 1111 1111.", f"{plain} 2024 {card} {card}."),
+        ("𝒳é 4111 1111 1111 1111 𝒳" * 400, f"𝒳é {card} 𝒳" * 400),
+        ("4111 1111 1111 1112 12/25", "4111 1111 1111 1112 12/25"),
+    ]
+    assert replaced(spark, *[a for a, _ in pairs]) == [b for _, b in pairs]
+    phone, alone, both = replaced(spark, "+1 (843) 555-7672 2024-13-45 1215", "+1 (843) 555-7672", "+1 (843) 555-7672 170.106.12.34")
+    assert phone == alone + " 2024-13-45 1215" and alone != "+1 (843) 555-7672"
+    assert both == f"{alone} {replaced(spark, '170.106.12.34')[0]}"
+
+
 def test_pseudonyms_frame(spark):
     rows = documents() + [(800, "19@mail5.example.com and 19@mail5.example.com", "en", "a", 1, "x", 7, "y", 1.5)]
     out = pseudonyms.replace(frame(spark, rows), counts=True)
