@@ -5,7 +5,7 @@ attributes with any quoting). Each element's subtree is hashed (its source, tags
 host, within how many different surroundings (the hash of the element around it) a subtree occurs, so that copies of a
 page count once. Subtrees that recur across many pages of their host are its template and are deleted. A single page can't show its template, so elements whose very kind is not article text (navigation, headers
 outside an article, footers, asides, forms, scripts, styles, and blocks that their class, id or role names as menu,
-advertisement, notice, sidebar or reader comments) go as well. Where there is a main or article element with text,
+advertisement, notice, sidebar or reader comments, unless it holds the main text) go as well. Where there is a main or article element with text,
 only such elements are read.
 
 What remains is cut into blocks at block elements. Character references are decoded, white space inside a block becomes
@@ -47,7 +47,8 @@ _TOKEN = re.compile(
     r"|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"']+)?|[\"'])*)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: An attribute: its name, its value in either quoting or none.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"']+))?)?|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)")
 _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,12 +73,16 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 _ENDS_P = BLOCK - {"caption", "tbody", "thead", "tfoot", "tr", "td", "th", "html", "body"}
-_NOISE = re.compile(
-    r"(?:^|[\s_\-])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscri\w*|"
+_WORDS = (
+    r"(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscri\w*|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|toolbar|footer|masthead|topbar|pagination|pager|"
-    r"comments?|commentlist|respond|disqus\w*|replies|share|sharing|social|related|recommended|login|search)(?:$|[\s_\-\d])",
-    re.I,
+    r"comments?|commentlist|respond|disqus\w*|replies|share|sharing|social|related|recommended|login|search)"
 )
+#: A name that holds such a word is noise, unless it only says what the element has or lacks.
+_NOISE = re.compile(rf"(?!(?:has|no|with|without)[_\-])(?:.*[_\-])?{_WORDS}(?:$|[_\-\d])", re.I)
+_NOISE_WHOLE = re.compile(rf"{_WORDS}[\d_\-]*", re.I)
+#: Whether an element is noise, and how surely: by a part of a name, by a whole name, or whatever it holds.
+PART, WHOLE, SURE = 1, 2, 3
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
@@ -88,34 +93,81 @@ CONTAINERS = frozenset("aside center details div dl figure ol section table ul".
 class Node:
     """An element: its tag, its children and texts, and where its source lies in the page."""
 
-    __slots__ = ("tag", "parts", "start", "end", "noise")
+    __slots__ = ("tag", "parts", "start", "end", "noise", "named")
 
     def __init__(self, tag: str, start: int):
         self.tag = tag
         self.parts: list[Node | str] = []
         self.start = self.end = start
         self.noise = tag in DROP
+        self.named = 0
 
 
-def _noisy(attrs: str) -> bool:
+def _noisy(attrs: str) -> int:
+    """0, PART, WHOLE or SURE."""
+    found = 0
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values)
         name = name.lower()
         if name in ("class", "id"):
-            if _NOISE.search(value):
-                return True
+            for x in value.split():
+                if _NOISE.match(x):
+                    found = max(found, WHOLE if _NOISE_WHOLE.fullmatch(x) else PART)
         elif name == "role":
             if value.strip().lower() in _NOISE_ROLES:
-                return True
+                return SURE
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
+            return SURE
+    return found
+
+
+def _clear_wrappers(root: Node) -> None:
+    """Elements that are noise by name, but hold the page's main text, are none.
+
+    They hold a main element; or, where no main or article stands outside noise, an article or most of the page's text
+    (both, if the whole of a name says that they are noise).
+    """
+    order: list[Node] = []
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [p for p in x.parts if isinstance(p, Node) and not (p.noise and p.named == 0)]
+    held: dict[Node, tuple[int, bool, bool]] = {}  # characters, main, article
+    for x in reversed(order):
+        below = [held[p] for p in x.parts if isinstance(p, Node) and p in held]
+        chars = sum(len(p.strip()) for p in x.parts if isinstance(p, str)) + sum(b[0] for b in below)
+        held[x] = chars, any(b[1] for b in below) or (x.tag == "main" and chars > 0), any(b[2] for b in below) or (x.tag == "article" and chars > 0)
+
+    def plain(x: Node) -> bool:
+        """Whether a main or article with text is found without entering noise."""
+        stack = [x]
+        while stack:
+            y = stack.pop()
+            if y.tag in ("main", "article") and held[y][0]:
+                return True
+            stack += [p for p in y.parts if isinstance(p, Node) and not p.noise]
+        return False
+
+    outside = plain(root)
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if x.noise:
+            chars, main, article = held[x]
+            most = 2 * chars > held[root][0]
+            if not main and (outside or not ((article or most) if x.named == PART else (article and most))):
+                continue
+            x.noise = False
+            outside = outside or plain(x)
+        stack += [p for p in reversed(x.parts) if isinstance(p, Node) and p in held]
 
 
 def parse(page: str) -> Node:
     root = Node("", 0)
     stack = [root]
     at, n = 0, len(page)
+    named = False
 
     def close(k: int, end: int) -> None:
         for x in stack[k:]:
@@ -163,8 +215,10 @@ def parse(page: str) -> Node:
         node = Node(tag, m.start())
         node.end = at
         stack[-1].parts.append(node)
-        if attrs and not node.noise and tag not in ("html", "body", "article", "main") and _noisy(attrs):
+        if attrs and not node.noise and tag not in ("html", "body", "article", "main") and (noisy := _noisy(attrs)):
             node.noise = True
+            node.named = noisy % SURE
+            named = named or node.named > 0
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.I).search(page, at)
             node.parts.append(page[at : end.start()])
@@ -172,6 +226,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
     close(0, n)
+    if named:
+        _clear_wrappers(root)
     return root
 
 

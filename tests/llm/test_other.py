@@ -155,6 +155,24 @@ def test_parsing(page, text):
     assert html_text.text_of(html_text.parse(page)) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p><a href='/the-hidden-valley'>link</a> text</p><p title=\"The hidden valley\">q</p><p data-hidden=1 x='class=ad'>r</p>", "link text\nq\nr"),
+        ("<p hidden>a</p><p class = 'x ad'>b</p><p CLASS=menu>c</p><p title='t' style='display: none'>d</p><p>k", "k"),
+        ("<div class='content-sidebar-wrap'><article><p>long text</p></article><div class=sidebar>s</div></div><p>scrap</p>", "long text"),
+        ("<div class='content has-sidebar'><p>text of the page</p></div><div class='post no-comments'>post</div>", "text of the page\npost"),
+        ("<div class='content-sidebar-wrap'><p>most of the text of the page</p><div class=main-menu>m</div></div><p>k</p>", "most of the text of the page\nk"),
+        ("<article>post</article><div id=comments><article>a far longer comment of a reader</article></div>", "post"),
+        ("<div>a longer post of some words</div><div id=comments><article>comment</article></div>", "a longer post of some words"),
+        ("<div class=widget><main>in</main></div>x", "in"),
+        ("<div class='main-menu'>m</div><div class='site-footer'>f</div><div class=related-posts>r</div><p>a page of its own", "a page of its own"),
+    ],
+)
+def test_noise_by_name(page, text):
+    assert html_text.text_of(html_text.parse(page)) == text
+
+
 def test_html_empty_table(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
