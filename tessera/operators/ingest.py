@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.names import fresh
 from tessera.functions.text import key_id, normalize
+from tessera.sources.stages import write_stage
 
 SEARCH_COLUMNS = ("search_query", "search_location_id", "search_is_delivery_search", "search_infm_params_text", "search_category")
 
@@ -18,25 +20,27 @@ def file_order(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, key: str | Column, order: list[str | Column]) -> DataFrame:
     """The first row of each key. A partial top 1 runs before the shuffle, so repeated keys don't pile up in a task."""
     key = F.col(key) if isinstance(key, str) else key
+    n = fresh(df.columns, "n")
     w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n <= 1").drop("__n")
+    return df.withColumn(n, F.row_number().over(w)).filter(F.col(n) <= 1).drop(n)
 
 
 def number_docs(df: DataFrame, order: list[str], name: str = "doc") -> DataFrame:
     """Dense 0-based numbers in the given total order, without a single-task sort.
 
-    Rows are range-sorted; each partition's count gives the offset of the next. ``df`` should be a written table: both
-    passes must see the same ranges.
+    Rows are sorted and written once, each with its partition and its place there; what follows reads that table, so all
+    passes see the same partitions, whatever Spark would make of the sort a second time. The sizes of the partitions (a
+    row each) give the number at which each starts.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))  # one row a partition
-    offsets, at = [], 0
-    for r in sorted(sizes.collect()):
-        offsets.append((r["__p"], at))
-        at += r["n"]
-    table = spark.createDataFrame(offsets, "__p int, __at long")
-    return ranged.join(F.broadcast(table), "__p").withColumn(name, F.col("__at") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__m", "__at")
+    at, base = fresh(df.columns, "at"), fresh(df.columns, "base")
+    # the partition in the upper 31 bits, the row within it in the lower 33
+    held = write_stage(df.orderBy(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(at, 33)
+    sizes = held.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # over a row a partition
+    starts = sizes.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    x = held.join(F.broadcast(starts), part == F.col("p"))
+    return x.select(*df.columns, (F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
 
 
 def query_groups(train: DataFrame, item: str = "item_id", columns: tuple[str, ...] = SEARCH_COLUMNS) -> DataFrame:

@@ -35,6 +35,26 @@ def test_keep_first_and_numbers(spark):
     assert rows(first, "k", "v") == [(k, 100 - k) for k in range(7)]
     numbered = ingest.number_docs(df.repartition(5).cache(), ["i"])
     assert rows(numbered, "i", "doc") == [(i, i) for i in range(50)]
+    assert ingest.number_docs(df.filter("false"), ["i"]).count() == 0
+    clash = ingest.number_docs(df.withColumn("__at", F.lit("x")).withColumn("__base", F.lit("y")), ["i"])
+    assert clash.columns == ["k", "i", "v", "__at", "__base", "doc"] and clash.filter("doc = i").count() == 50
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_over_many_wide_partitions(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        n, prime = 1_000_000, 1_000_003
+        df = spark.range(0, n, 1, 9).select((F.col("id") * 7919 % prime).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        skipped = sorted(set(range(prime)) - {i * 7919 % prime for i in range(n)})  # three keys that don't occur
+        numbered = ingest.number_docs(df, ["k"])
+        expected = F.col("k") - sum((F.col("k") > x).cast("long") for x in skipped)
+        assert numbered.agg(F.count("*"), F.countDistinct("doc"), F.sum((F.col("doc") != expected).cast("long"))).first() == (n, n, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
 
 
 def test_query_groups_with_nulls(spark):
