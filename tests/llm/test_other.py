@@ -93,6 +93,14 @@ def test_the_longest_valid_part_is_replaced(spark):
     assert both == f"{alone} {replaced(spark, '170.106.12.34')[0]}"
 
 
+def test_domains_of_many_labels_and_empty_ones(spark):
+    texts = ["a@1" + ".1" * 100_000, "a@b..com", "Jo@b.com..x", "jo.x@mail.example.com.1"]
+    got = replaced(spark, *texts)
+    assert got[:2] == texts[:2]
+    assert re.fullmatch(r"[A-Z][a-z]@b\.com\.\.x", got[2]) and got[2] != texts[2]
+    assert re.fullmatch(r"[a-z]{2}\.[a-z]@mail\.example\.com\.1", got[3]) and got[3] != texts[3]
+
+
 def test_pseudonyms_frame(spark):
     rows = documents() + [(800, "19@mail5.example.com and 19@mail5.example.com", "en", "a", 1, "x", 7, "y", 1.5)]
     out = pseudonyms.replace(frame(spark, rows), counts=True)
