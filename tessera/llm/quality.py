@@ -37,7 +37,7 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", 50, 200_000),
+    Rule("n_words", 50),
     Rule("mean_word_chars", 3.0, 10.0),
     Rule("symbols_per_word", None, 0.1),
     Rule("bangs_per_word", None, 0.2),
