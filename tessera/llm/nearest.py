@@ -13,7 +13,8 @@ the smaller id.
 
 Pivots are ``PIVOTS`` vectors, spread by a farthest-point walk over a sample of the ``SAMPLE`` vectors with the smallest
 hashes (the only thing that is sampled; it affects speed, not results). Equal vectors form a class that keeps its k + 1
-smallest ids, more can never be among a query's best; so a vector that a third of all rows share is one entry. Queries of
+smallest distinct ids, each at most k times, as more can never be among a query's best; so a vector that a third of all
+rows share is one entry. Query rows are numbered, so that rows of one id are searched apart. Queries of
 a block are dealt over tasks of at most ``QUERIES`` on average.
 
 Defined results: vectors that are null or empty, or hold null or non-finite components, neither ask nor answer; vectors
@@ -90,11 +91,13 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``vectors`` for each row of ``queries``."""
     x = integers(vectors, id_col, vector, scale)
-    # equal vectors are one class with its k + 1 smallest ids; the limit works before the shuffle, too
+    # without a query's own id, k others remain of a class, or all
     order = Window.partitionBy("v").orderBy("id")
-    few = x.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
-    classes = table(few.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")), "vectors")
-    asks = table(integers(queries, id_col, vector, scale).withColumn("dim", F.size("v")), "queries")
+    rows = x.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("rows"))
+    few = rows.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
+    ids = F.array_sort(F.flatten(F.collect_list(F.array_repeat("id", F.col("rows")))))
+    classes = table(few.groupBy("v").agg(ids.alias("ids")).withColumn("dim", F.size("v")), "vectors")
+    asks = table(integers(queries, id_col, vector, scale).withColumn("dim", F.size("v")).withColumn("q", F.monotonically_increasing_id()), "queries")
     out = None
     for dim in sorted(r["dim"] for r in asks.select("dim").distinct().collect()):  # a few dimensions at most, in practice one
         part = _search(classes.filter(F.col("dim") == dim), asks.filter(F.col("dim") == dim), k)
@@ -171,11 +174,11 @@ def _search(classes: DataFrame, asks: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), p)), pa.array(np.tile(np.arange(p, dtype=np.int32), n)), pa.array(d.ravel()), pa.array(rank.ravel().astype(np.int32))], ["q", "pivot", "d", "near"])
 
     # PIVOTS rows a query
-    places = asks.select("id", "v").mapInArrow(ask, "q long, pivot int, d double, near int")
+    places = asks.select("q", "v").mapInArrow(ask, "q long, pivot int, d double, near int")
     meet = places.join(annuli, "pivot").withColumn("gap", F.greatest(F.col("low") - F.col("d"), F.col("d") - F.col("high"), F.lit(0.0)))
     square = F.aggregate("v", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))
     shards = max(1, -(-asks.count() // QUERIES))
-    q = asks.select(F.col("id").alias("q"), "v", square.alias("qq"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
+    shard = F.pmod(F.xxhash64("q"), F.lit(shards)).cast("int")
 
     def score(key: tuple, data: pa.Table, wanted: pa.Table) -> pa.Table:
         empty = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
@@ -185,25 +188,32 @@ def _search(classes: DataFrame, asks: DataFrame, k: int) -> DataFrame:
         ids = np.array(data["ids"][0].as_py(), np.int64)
         m = np.frombuffer(data["data"][0].as_py(), np.int64).reshape(len(counts), -1)
         owner = np.repeat(np.arange(len(counts)), counts)
+        by_id = np.argsort(ids, kind="stable")
+        sorted_ids = ids[by_id]
         out_q, out_id, out_s = [], [], []
         for lo in range(0, wanted.num_rows, 512):
             part = wanted.slice(lo, 512)
             scores = _exact(_matrix(part["v"]), m)
-            keep = min(k + 1, scores.shape[1])
-            best = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]  # k + 1 classes hold the k best ids
-            for qid, s, least in zip(part["q"].to_pylist(), scores, best, strict=True):
+            own = part["id"].to_numpy()
+            for s, lo_id, hi_id in zip(scores, np.searchsorted(sorted_ids, own), np.searchsorted(sorted_ids, own, "right"), strict=True):
+                if lo_id < hi_id:  # classes that hold nothing but the query's own rows
+                    s[np.bincount(owner[by_id[lo_id:hi_id]], minlength=len(counts)) == counts] = -(2**63 - 1)
+            keep = min(k, scores.shape[1])
+            best = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]  # each of these classes gives an id at least
+            for q, qid, s, least in zip(part["q"].to_pylist(), own, scores, best, strict=True):
                 e = np.flatnonzero((s >= least)[owner])
                 e = e[ids[e] != qid]
                 e = e[np.lexsort((ids[e], -s[owner[e]]))[:k]]
-                out_q.append(np.full(len(e), qid, np.int64))
+                out_q.append(np.full(len(e), q, np.int64))
                 out_id.append(ids[e])
                 out_s.append(s[owner[e]])
         return pa.table({"q": np.concatenate(out_q), "id": np.concatenate(out_id), "score": np.concatenate(out_s)})
 
-    salted = blocks.select("block", "data", "counts", "ids", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
     def scored(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.join(q, "q").select("b", F.col("shard").alias("s"), "q", "v")
+        wanted = pairs.join(asks, "q").select("b", shard.alias("s"), "q", "id", "v")
+        # a block goes to those shards only that hold a query for it
+        asked = pairs.select(F.col("b").alias("block"), shard.alias("shard")).distinct()
+        salted = blocks.select("block", "data", "counts", "ids").join(asked, "block")
         return salted.groupBy("block", "shard").cogroup(wanted.groupBy("b", "s")).applyInArrow(score, "q long, id long, score long")
 
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id"))
@@ -212,8 +222,9 @@ def _search(classes: DataFrame, asks: DataFrame, k: int) -> DataFrame:
     found = table(scored(first), "first")
     bound = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") == k).select("q", F.col("score").alias("bound"))
     # a better vector is no farther than radius
-    radius = bound.join(q.select("q", "qq"), "q").select("q", F.sqrt(F.greatest(F.col("qq") + F.lit(top) - 2 * F.col("bound"), F.lit(0.0))).alias("radius"))
+    radius = bound.join(asks.select("q", square.alias("qq")), "q").select("q", F.sqrt(F.greatest(F.col("qq") + F.lit(top) - 2 * F.col("bound"), F.lit(0.0))).alias("radius"))
     more = meet.join(radius, "q", "left").filter(F.col("radius").isNull() | (F.col("gap") <= F.col("radius") + slack)).select("q", "b").join(first, ["q", "b"], "left_anti")
-    every = found.union(scored(more))
+    every = found.union(scored(table(more, "more")))
     ranked = every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias("vec_id"), "score")
+    named = ranked.join(asks.select("q", F.col("id").alias("query_id")), "q")
+    return named.select("query_id", F.col("rank").cast("int"), F.col("id").alias("vec_id"), "score")
