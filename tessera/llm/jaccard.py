@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.names import fresh
 from tessera.llm import bitmaps
 from tessera.llm.components import components
 from tessera.llm.runtime import table
@@ -293,5 +294,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The document of the smallest id of each linked group stays, with all rows that bear this id; so do rows without shingles."""
     groups = link(docs, id_col, text, words, percent)
-    gone = groups.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    out = fresh(docs.columns, "gone")
+    gone = groups.filter("n_shingles > 0 AND component_id <> doc_id").select(F.col("doc_id").alias(out)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(out), "left_anti")

@@ -27,6 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.names import fresh
 from tessera.llm import bitmaps
 from tessera.llm.runtime import table
 
@@ -140,9 +141,10 @@ def _one_edit(a: str, na: str, b: str, nb: str) -> Column:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` without the removed lines; with ``counts`` also n_lines and n_removed (of lines with a word)."""
-    gone = removals(docs, id_col, text).groupBy(F.col("d").alias("__d")).agg(F.collect_set("i").alias("__gone"))  # within one document
-    x = docs.join(gone, F.col(id_col).cast("long") == F.col("__d"), "left")
-    left = F.expr(f"CASE WHEN __gone IS NULL THEN `{text}` ELSE array_join(filter(split(`{text}`, '\\n'), (l, i) -> NOT array_contains(__gone, i)), '\\n') END")
+    d, gone = fresh(docs.columns, "d"), fresh(docs.columns, "gone")
+    removed = removals(docs, id_col, text).groupBy(F.col("d").alias(d)).agg(F.collect_set("i").alias(gone))  # within one document
+    x = docs.join(removed, F.col(f"`{id_col}`").cast("long") == F.col(d), "left")
+    left = F.expr(f"CASE WHEN {gone} IS NULL THEN `{text}` ELSE array_join(filter(split(`{text}`, '\\n'), (l, i) -> NOT array_contains({gone}, i)), '\\n') END")
     n_lines = F.expr(rf"size(filter(split(coalesce(`{text}`, ''), '\n'), l -> {HAS_WORD.format('l')}))").cast("long").alias("n_lines")
-    n_removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed")
+    n_removed = F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")
     return x.select(*[left.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *([n_lines, n_removed] if counts else []))

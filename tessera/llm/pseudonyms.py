@@ -34,6 +34,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.names import fresh
+
 #: Stands for a secret; a real run passes its own.
 KEY = "tessera"
 ROUNDS = 8
@@ -266,11 +268,12 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool =
     """``docs`` with pseudonyms in its texts; with ``counts`` also n_found, n_replaced and their kinds."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     t = F.col(f"`{text}`")
+    match, value, made, number, built = (fresh(docs.columns, x) for x in "mvcna")
     # a line break in front, so that no candidate stands at the start and there is one piece more than candidates
     led = F.concat(F.lit("\n"), t)
     found = F.when(t.rlike(LIKELY), F.regexp_extract_all(led, F.lit(STARTS), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    x = docs.select(*own, found.alias("__m")).select(*own, F.transform("__m", part).alias("__v"))
-    x = x.select(*own, F.transform("__v", lambda v: F.struct(F.length(v).alias("n"), pseudonym(v, key).alias("p"), kind_of(v).alias("kind"))).alias("__c"))
+    x = docs.select(*own, found.alias(match)).select(*own, F.transform(match, part).alias(value))
+    x = x.select(*own, F.transform(value, lambda v: F.struct(F.length(v).alias("n"), pseudonym(v, key).alias("p"), kind_of(v).alias("kind"))).alias(made))
     state = F.struct(
         F.lit(0).alias("skip"), F.lit("").alias("text"), F.array().cast("array<string>").alias("done"),
         F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("replaced"), F.array().cast("array<string>").alias("kinds"),
@@ -293,13 +296,13 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY, counts: bool =
         )
 
     none = F.lit(None).cast("struct<n:int,p:string,kind:string>")
-    pieces = F.zip_with(F.split(led, STARTS), F.concat(F.array(none), F.col("__c")), lambda s, c: F.struct(s.alias("s"), c.alias("c")))
-    x = x.select(*own, F.size("__c").alias("__n"), F.when(F.exists("__c", lambda c: c["p"].isNotNull()), F.aggregate(pieces, state, step)).alias("__a"))
-    a = F.col("__a")
+    pieces = F.zip_with(F.split(led, STARTS), F.concat(F.array(none), F.col(made)), lambda s, c: F.struct(s.alias("s"), c.alias("c")))
+    x = x.select(*own, F.size(made).alias(number), F.when(F.exists(made, lambda c: c["p"].isNotNull()), F.aggregate(pieces, state, step)).alias(built))
+    a = F.col(built)
     joined = F.concat(F.array_join(a["done"], ""), a["text"])
     new = F.when(a.isNotNull(), F.substring(joined, F.lit(2), F.length(joined))).otherwise(t)
     more = []
     if counts:
-        found, replaced = F.coalesce(a["found"], F.greatest(F.col("__n"), F.lit(0)).cast("long")), F.coalesce(a["replaced"], F.lit(0).cast("long"))
+        found, replaced = F.coalesce(a["found"], F.greatest(F.col(number), F.lit(0)).cast("long")), F.coalesce(a["replaced"], F.lit(0).cast("long"))
         more = [found.alias("n_found"), replaced.alias("n_replaced"), F.coalesce(F.array_join(F.array_sort(a["kinds"]), ","), F.lit("")).alias("kinds")]
     return x.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *more)

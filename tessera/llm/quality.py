@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.names import fresh
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
@@ -68,62 +70,63 @@ def _covered(words: str) -> str:
     END"""
 
 
-def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the struct column ``__m`` of all counts to the columns named in ``keep`` (all of ``docs`` by default)."""
+def measures(docs: DataFrame, text: str = "text", keep: list[str] | None = None, name: str = "__m") -> DataFrame:
+    """Adds the struct column ``name`` of all counts to the columns named in ``keep`` (all of ``docs`` by default)."""
     keep = docs.columns if keep is None else keep
     own = [F.col(f"`{c}`") for c in keep]
-    t = docs.select(*own, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+    whole, words, lines = (fresh(keep, x) for x in "twl")
+    t = docs.select(*own, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(whole))
     t = t.select(
         *own,
-        "__t",
-        F.expr(rf"regexp_extract_all(__t, r'{WORD}', 0)").alias("__w"),
-        F.expr(r"filter(split(__t, '\n'), l -> l rlike r'[^\x20\x09-\x0D]')").alias("__l"),
+        whole,
+        F.expr(rf"regexp_extract_all({whole}, r'{WORD}', 0)").alias(words),
+        F.expr(rf"filter(split({whole}, '\n'), l -> l rlike r'[^\x20\x09-\x0D]')").alias(lines),
     )
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    stops = f"size(filter(__w, w -> lower(rtrim('.,;:!?', w)) IN ({stop})))"
+    stops = f"size(filter({words}, w -> lower(rtrim('.,;:!?', w)) IN ({stop})))"
     m = {
-        "n_words": "size(__w)",
-        "word_chars": "aggregate(__w, 0L, (a, w) -> a + length(w))",
-        "n_symbols": f"regexp_count(__t, r'{SYMBOL}')",
-        "n_lines": "size(__l)",
-        "n_dup_lines": "size(__l) - size(array_distinct(__l))",
-        "n_repeat_words": _covered("__w"),
+        "n_words": f"size({words})",
+        "word_chars": f"aggregate({words}, 0L, (a, w) -> a + length(w))",
+        "n_symbols": f"regexp_count({whole}, r'{SYMBOL}')",
+        "n_lines": f"size({lines})",
+        "n_dup_lines": f"size({lines}) - size(array_distinct({lines}))",
+        "n_repeat_words": _covered(words),
         "n_stop_words": stops,
-        "n_bangs": "regexp_count(__t, '!')",
-        "n_upper_words": r"regexp_count(__t, r'(?<![^\x20\x09-\x0D])[^a-z\x20\x09-\x0D]*\p{Lu}{2}[^a-z\x20\x09-\x0D]*(?![^\x20\x09-\x0D])')",
-        "n_ellipsis_lines": "size(filter(__l, l -> l rlike r'(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))",
-        "n_bullet_lines": "size(filter(__l, l -> l rlike r'^[\\x20\\x09-\\x0D]*[-*•]'))",
+        "n_bangs": f"regexp_count({whole}, '!')",
+        "n_upper_words": rf"regexp_count({whole}, r'(?<![^\x20\x09-\x0D])[^a-z\x20\x09-\x0D]*\p{{Lu}}{{2}}[^a-z\x20\x09-\x0D]*(?![^\x20\x09-\x0D])')",
+        "n_ellipsis_lines": f"size(filter({lines}, l -> l rlike r'(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))",
+        "n_bullet_lines": f"size(filter({lines}, l -> l rlike r'^[\\x20\\x09-\\x0D]*[-*•]'))",
     }
-    return t.select(*own, F.struct(*[F.expr(e).cast("long").alias(k) for k, e in m.items()]).alias("__m"))
+    return t.select(*own, F.struct(*[F.expr(e).cast("long").alias(k) for k, e in m.items()]).alias(name))
 
 
-def _share(top: str, base: str) -> Column:
-    return F.when(F.col(f"__m.{base}") > 0, F.col(f"__m.{top}") / F.col(f"__m.{base}")).otherwise(0.0)
+def _share(m: str, top: str, base: str) -> Column:
+    return F.when(F.col(f"{m}.{base}") > 0, F.col(f"{m}.{top}") / F.col(f"{m}.{base}")).otherwise(0.0)
 
 
-def metrics() -> dict[str, Column]:
-    """Ratios that rules refer to, over the column ``__m``."""
+def metrics(m: str = "__m") -> dict[str, Column]:
+    """Ratios that rules refer to, over the column ``m``."""
     return {
-        "n_words": F.col("__m.n_words").cast("double"),
-        "mean_word_chars": _share("word_chars", "n_words"),
-        "symbols_per_word": _share("n_symbols", "n_words"),
-        "bangs_per_word": _share("n_bangs", "n_words"),
-        "upper_words_share": _share("n_upper_words", "n_words"),
-        "stop_words_share": _share("n_stop_words", "n_words"),
-        "dup_lines_share": _share("n_dup_lines", "n_lines"),
-        "ellipsis_lines_share": _share("n_ellipsis_lines", "n_lines"),
-        "bullet_lines_share": _share("n_bullet_lines", "n_lines"),
+        "n_words": F.col(f"{m}.n_words").cast("double"),
+        "mean_word_chars": _share(m, "word_chars", "n_words"),
+        "symbols_per_word": _share(m, "n_symbols", "n_words"),
+        "bangs_per_word": _share(m, "n_bangs", "n_words"),
+        "upper_words_share": _share(m, "n_upper_words", "n_words"),
+        "stop_words_share": _share(m, "n_stop_words", "n_words"),
+        "dup_lines_share": _share(m, "n_dup_lines", "n_lines"),
+        "ellipsis_lines_share": _share(m, "n_ellipsis_lines", "n_lines"),
+        "bullet_lines_share": _share(m, "n_bullet_lines", "n_lines"),
     }
 
 
-def base_failed() -> Column:
+def base_failed(m: str = "__m") -> Column:
     """Fewer than 50 words, or more than half of them in repeated windows."""
-    return (F.col("__m.n_words") < 50) | (100 * F.col("__m.n_repeat_words") > 50 * F.col("__m.n_words"))
+    return (F.col(f"{m}.n_words") < 50) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
 
 
-def failures(rules: tuple[Rule, ...] = RULES) -> Column:
+def failures(rules: tuple[Rule, ...] = RULES, m: str = "__m") -> Column:
     """The names of the rules that a row breaks."""
-    of = metrics()
+    of = metrics(m)
     parts = []
     for r in rules:
         broken = F.lit(False)
@@ -154,6 +157,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     or no element drops rows after each count has been made once.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
-    judged = measures(docs, text).select(*own, (~base_failed() & (F.size(failures(rules)) == 0)).alias("__kept"))
-    once = F.when(F.col("__kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    return judged.select(*own, F.explode(once).alias("__one")).select(*own)
+    m, kept, one = (fresh(docs.columns, x) for x in ("m", "kept", "one"))
+    judged = measures(docs, text, name=m).select(*own, (~base_failed(m) & (F.size(failures(rules, m)) == 0)).alias(kept))
+    once = F.when(F.col(kept), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return judged.select(*own, F.explode(once).alias(one)).select(*own)

@@ -14,11 +14,13 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this session in ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A folder of this session in ``spark.checkpoint.dir``; a temporary one where that is unset in local mode (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir: executors share no folder of this machine")
             base = tempfile.mkdtemp(prefix="tessera-")
         _scratch[app] = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _scratch[app])

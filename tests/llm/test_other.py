@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, nearest, pseudonyms
+from tessera.llm import html_text, jaccard, lines, mixing, nearest, pseudonyms, quality
 from tessera.llm.components import components
 from tests.llm.helpers import documents, empty, frame, words
 from tests.llm.test_documents import brute_lines, brute_links, brute_quality, key
@@ -113,6 +113,24 @@ def test_pseudonyms_frame(spark):
     assert pseudonyms.replace(empty(spark)).count() == 0
 
 
+# --- columns named like helper columns
+
+HELPERS = "__m __v __c __n __a __t __w __l __kept __one __d __gone __row __h __k __r __at __bits m v c n a t w l d i h k q gone kept copy at".split()
+
+
+def test_helper_columns_clash_with_nothing(spark):
+    rows = [(i, "a line of some words that all the documents of this small table share\n" + words(random.Random(i // 2), 90 + i), "s", *range(len(HELPERS))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{h}` int" for h in HELPERS)).cache()
+    plain = docs.select("doc_id", "text", "source")
+    for apply in (pseudonyms.replace, quality.keep_good, lines.dedup, jaccard.keep_first, mixing.mix):
+        got, want = apply(docs), apply(plain)
+        assert got.columns[: len(docs.columns)] == docs.columns, apply
+        assert sorted(map(tuple, got.select("doc_id", "text").collect())) == sorted(map(tuple, want.select("doc_id", "text").collect())), apply
+        assert all(tuple(r)[3 : len(docs.columns)] == tuple(range(len(HELPERS))) for r in got.collect()), apply
+    for apply in (quality.judge, jaccard.link, mixing.digest):
+        assert sorted(map(tuple, apply(docs).collect())) == sorted(map(tuple, apply(plain).collect())), apply
+
+
 # --- HTML
 
 
@@ -217,6 +235,20 @@ def test_search_equals_brute_force(spark, monkeypatch, spread):
     assert sorted(map(tuple, got.collect())) == want
 
 
+def test_search_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    monkeypatch.setattr(nearest, "PIVOTS", 3)
+    monkeypatch.setattr(nearest, "QUERIES", 2)
+    rnd = random.Random(9)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(40)]
+    rows += [rows[20]] * 12 + [(i, rows[20][1]) for i in (41, 42, 42, 42, 43)]  # more rows of one id in a class than k
+    rows += [(0, [rnd.gauss(0, 3) for _ in range(3)]) for _ in range(15)]  # an id of many vectors
+    rows += [(60, rows[0][1])] * 9 + [(61, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest.search(df, df.filter("vec_id % 20 = 0"), 5)
+    assert sorted(map(tuple, got.collect())) == brute_search(rows, [r for r in rows if r[0] % 20 == 0], 5)
+
+
 def test_search_with_few_rows(spark):
     df = spark.createDataFrame([(20, [1.0]), (21, [0.5]), (40, None)], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, nearest.search(df, df.filter("vec_id % 20 = 0"), 20).collect())) == [(20, 1, 21, 2048)]
