@@ -1,22 +1,30 @@
 """HTML extraction (op 6): main text by removal of a site's templates.
 
 Pages are parsed into trees by a tolerant tokenizer (unclosed and stray tags, comments, raw text of scripts and styles,
-attributes with any quoting). Each element's subtree is hashed (its source, tags, attributes and text); Spark counts, per
-host, within how many different surroundings (the hash of the element around it) a subtree occurs, so that copies of a
-page count once. Subtrees that recur across many pages of their host are its template and are deleted. A single page can't show its template, so elements whose very kind is not article text (navigation, headers
-outside an article, footers, asides, forms, scripts, styles, and blocks that their class, id or role names as menu,
-advertisement, notice, sidebar or reader comments, unless it holds the main text) go as well. Where there is a main or article element with text,
-only such elements are read.
+attributes with any quoting). The subtree of each block element, navigation, footers and adverts included, is hashed (its
+source: tags, attributes and text); Spark counts, per host, within how many different surroundings (the hash of the
+element around it) a subtree occurs, so that copies of a page count once. Subtrees that recur are the host's template and
+are deleted:
+
+- containers (divisions, lists, tables, navigation and so on) outside of articles from ``MIN_PAGES`` surroundings on,
+  however many pages the host has;
+- paragraphs, headings and other elements of text outside of articles, and containers within them, only if they also
+  reach ``MIN_SHARE`` of the host's pages, since an article's text may recur innocently; paragraphs and headings within an
+  article never;
+- a subtree with half of a page's text or more never: it is content however often it recurs.
+
+A single page can't show its template, so what remains of elements whose very kind is not article text (navigation,
+headers outside an article, footers, asides, forms, scripts, styles, and blocks that their class, id or role names as
+menu, advertisement, notice, sidebar or reader comments, unless it holds the main text) goes as well. Where there is a
+main or article element with text, only such elements are read.
 
 What remains is cut into blocks at block elements. Character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined by \\n.
 
-Within an article only containers (lists, tables, divisions, not paragraphs or headings) can be templates, since
-paragraphs may recur innocently; and a subtree with half of a page's text or more is content however often it recurs.
-
-Counting: surroundings are made distinct before they are counted, with a partial aggregation on either side of the
-shuffle, by host and hash, so a host with many pages is spread over all tasks. Only hashes over the threshold are kept and
-meet the pages by host, in ``SALTS`` parts a host; a host has no more of them than the subtrees of a page divided by the share that each must reach.
+Counting: the rows (host, subtree, surroundings, page) are written once, as hashes of 64 bits, and aggregated in two steps
+with a partial aggregation before each shuffle, so a host with many pages is spread over all tasks. Templates meet the rows by
+(host, subtree); keys that make up over 1 / ``HEAVY`` of all rows, fewer than ``HEAVY`` therefore, are broadcast, so no
+task gets more than that share of them. Each page is then joined with its own templates only, by the hash of its source.
 
 Defined results: null and empty html give an empty text; a null or unparsable url counts as one host; repeated rows count
 as pages of their own and get a row each; texts of any length are read whole; extra columns are ignored; an empty table
@@ -36,11 +44,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.runtime import table
 
-#: A subtree is a template when it occurs on MIN_PAGES pages and on MIN_SHARE of its host's pages at least.
+#: Different surroundings that make a container a template.
 MIN_PAGES = 5
+#: What an element of text, or a container within an article, must reach of its host's pages besides.
 MIN_SHARE = 0.2
-#: Parts over which the pages of a host are dealt when they meet its templates.
-SALTS = 64
+#: Keys of more than one in HEAVY rows are broadcast.
+HEAVY = 4096
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -78,16 +87,24 @@ _WORDS = (
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|toolbar|footer|masthead|topbar|pagination|pager|"
     r"comments?|commentlist|respond|disqus\w*|replies|share|sharing|social|related|recommended|login|search)"
 )
-#: A name that holds such a word is noise, unless it only says what the element has or lacks.
-_NOISE = re.compile(rf"(?!(?:has|no|with|without)[_\-])(?:.*[_\-])?{_WORDS}(?:$|[_\-\d])", re.I)
+#: What may follow such a word in a name that is still about the element's place in the page.
+_PLACES = (
+    r"(?:area|bar|block|body|bottom|box|btn|buttons?|center|col|column|container|content|footer|form|frame|header|holder|icons?|inner|items?|"
+    r"left|links?|list|main|module|outer|overlay|panel|posts?|articles?|stories|right|row|section|signup|slot|small|text|title|toggle|top|unit|wide|wrap|wrapper|zone)"
+)
+#: A name with such a word, alone or before words of place, is noise, unless it only says what the element has or lacks.
+_NOISE = re.compile(rf"(?!(?:has|no|with|without)[_\-])(?:.*[_\-])?{_WORDS}(?:[_\-]*\d+)?(?:[_\-]+(?:{_PLACES}|{_WORDS}|\d+))*[_\-]*\Z", re.I)
 _NOISE_WHOLE = re.compile(rf"{_WORDS}[\d_\-]*", re.I)
 #: Whether an element is noise, and how surely: by a part of a name, by a whole name, or whatever it holds.
 PART, WHOLE, SURE = 1, 2, 3
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 
-#: What can be a template within an article.
-CONTAINERS = frozenset("aside center details div dl figure ol section table ul".split())
+#: What is a template by its count alone outside of articles; within one it must reach the share as well.
+CONTAINERS = frozenset("aside center details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
+#: What is hashed: blocks, and what is never article text.
+_HASHED = (BLOCK | CONTAINERS) - {"html", "body", "article", "main", "hr"}
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
@@ -103,13 +120,13 @@ class Node:
         self.named = 0
 
 
-def _noisy(attrs: str) -> int:
-    """0, PART, WHOLE or SURE."""
+def _noisy(tag: str, attrs: str) -> int:
+    """0, PART, WHOLE or SURE. The id of a heading names its subject, not its place."""
     found = 0
     for name, *values in _ATTR.findall(attrs):
         value = "".join(values)
         name = name.lower()
-        if name in ("class", "id"):
+        if name == "class" or (name == "id" and tag not in _HEADINGS):
             for x in value.split():
                 if _NOISE.match(x):
                     found = max(found, WHOLE if _NOISE_WHOLE.fullmatch(x) else PART)
@@ -215,7 +232,7 @@ def parse(page: str) -> Node:
         node = Node(tag, m.start())
         node.end = at
         stack[-1].parts.append(node)
-        if attrs and not node.noise and tag not in ("html", "body", "article", "main") and (noisy := _noisy(attrs)):
+        if attrs and not node.noise and tag not in ("html", "body", "article", "main") and (noisy := _noisy(tag, attrs)):
             node.noise = True
             node.named = noisy % SURE
             named = named or node.named > 0
@@ -235,22 +252,34 @@ def _hash(page: str, x: Node) -> int:
     return xxhash.xxh64_intdigest(page[x.start : x.end]) - (1 << 63)
 
 
-def subtrees(page: str, root: Node) -> list[tuple[int, int]]:
-    """(hash, hash of the element around it) of the subtrees that may be templates."""
-    out = []
+def _candidates(root: Node) -> Iterator[tuple[Node, Node, bool]]:
+    """(element, the one around it, whether its count alone makes it a template) of all that may be templates.
+
+    Sending True for an element keeps what lies in it from being visited.
+    """
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
         x, inside = stack.pop()
-        around = None
         for p in x.parts:
-            if isinstance(p, str) or p.noise:
+            if isinstance(p, str) or p.tag in RAW:
                 continue
             article = p.tag in ("article", "main")
-            if p.tag in (CONTAINERS if inside else BLOCK) and not article and p.tag not in ("html", "body"):
-                around = _hash(page, x) if around is None else around
-                out.append((_hash(page, p), around))
-            if not inside or p.tag not in ("p", "b", "i", "a", "em", "span", "h1", "h2", "h3"):
+            gone = None
+            if p.tag in (CONTAINERS if inside else _HASHED):
+                gone = yield p, x, not inside and p.tag in CONTAINERS
+            if not gone:
                 stack.append((p, inside or article))
+
+
+def subtrees(page: str, root: Node) -> set[tuple[int, int, bool]]:
+    """(hash, hash of the element around it, whether its count alone makes it a template) of the subtrees of a page."""
+    out = set()
+    around: tuple[Node | None, int] = (None, 0)
+    for p, x, alone in _candidates(root):
+        if around[0] is not x:
+            around = x, _hash(page, x) if x.tag else xxhash.xxh64_intdigest(page) - (1 << 63)
+        if h := _hash(page, p):  # 0 stands for the page itself
+            out.add((h, around[1], alone))
     return out
 
 
@@ -268,19 +297,19 @@ def _chars(x: Node) -> int:
 def drop_templates(page: str, root: Node, templates: frozenset[int]) -> None:
     """Marks the recurring subtrees of a page that hold less than half of its text."""
     whole = None
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        x, inside = stack.pop()
-        for p in x.parts:
-            if isinstance(p, str) or p.noise:
-                continue
-            article = p.tag in ("article", "main")
-            if p.tag in (CONTAINERS if inside else BLOCK) and not article and p.tag not in ("html", "body") and _hash(page, p) in templates:
-                whole = _chars(root) if whole is None else whole
-                if 2 * _chars(p) < whole:
-                    p.noise = True
-                    continue
-            stack.append((p, inside or article))
+    walk = _candidates(root)
+    found = next(walk, None)
+    while found is not None:
+        p = found[0]
+        gone = p.noise
+        if not gone and _hash(page, p) in templates:
+            whole = _chars(root) if whole is None else whole
+            gone = 2 * _chars(p) < whole
+        p.noise = gone
+        try:
+            found = walk.send(gone)
+        except StopIteration:
+            found = None
 
 
 def text_of(root: Node) -> str:
@@ -333,26 +362,32 @@ def host_of(url: str) -> Column:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), host_of(url).alias("host"))
+    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"), F.xxhash64(host_of(url)).alias("host"))
+    p = p.withColumn("source", F.xxhash64(F.coalesce("html", F.lit(""))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = []
+            for host, source, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 page = page.as_py() or ""
-                # 0, 0: the page itself
-                rows = [(0, xxhash.xxh64_intdigest(page) - (1 << 63)), *{x for x in subtrees(page, parse(page)) if x[0]}]
-                hosts += [host] * len(rows)
-                found += rows
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["host", "h", "around"])
-
-    found = p.select("host", "html").mapInArrow(count, "host string, h long, around long").distinct()
-    counts = table(found.groupBy("host", "h").agg(F.count("*").alias("n")).filter((F.col("n") >= MIN_PAGES) | (F.col("h") == 0)), "subtrees")
+                # 0: the page itself
+                rows += [(host, source, h, around, alone) for h, around, alone in {(0, source, False), *subtrees(page, parse(page))}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["host", "source", "h", "around", "alone"])
+
+    found = table(p.select("host", "source", "html").mapInArrow(count, "host long, source long, h long, around long, alone boolean"), "subtrees")
+    places = found.groupBy("host", "h", "around").agg(F.count("*").alias("rows"), F.max("alone").alias("alone"))
+    counts = places.groupBy("host", "h").agg(F.count("*").alias("n"), F.count_if("alone").alias("alone"), F.sum("rows").alias("rows"))
+    heavy = F.lit(-(-found.count() // HEAVY))
+    counts = table(counts.filter((F.col("n") >= MIN_PAGES) | (F.col("h") == 0) | (F.col("rows") > heavy)), "counts")
     size = counts.filter("h = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter("h <> 0").join(size, "host").filter(F.col("n") >= MIN_SHARE * F.col("pages"))
-    # at most (subtrees of a page) / MIN_SHARE hashes a host, whatever the number of its pages
-    templates = often.groupBy("host").agg(F.collect_set("h").alias("templates"))
-    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    often = (F.col("alone") >= MIN_PAGES) | ((F.col("n") >= MIN_PAGES) & (F.col("n") >= MIN_SHARE * F.col("pages")))
+    judged = table(counts.filter("h <> 0").join(size, "host").select("host", "h", often.alias("often"), (F.col("rows") > heavy).alias("heavy")), "templates")
+    # fewer than HEAVY keys, whatever the input
+    most = F.broadcast(judged.filter("heavy").select("host", "h", F.col("often").alias("known")))
+    met = found.filter("h <> 0").join(most, ["host", "h"], "left")
+    rest = met.filter("known IS NULL").join(judged.filter("often AND NOT heavy").select("host", "h"), ["host", "h"], "left_semi")
+    hits = met.filter("known").unionByName(rest)
+    templates = table(hits.groupBy("host", "source").agg(F.collect_set("h").alias("templates")), "hits")  # of one page
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,6 +400,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", page: s
                 texts.append(text_of(root))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    salted = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    x = salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
+    x = p.join(templates, ["host", "source"], "left").select("page_id", "url", "html", "templates")
     return x.mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -148,6 +148,29 @@ def test_templates_go_and_articles_stay(spark):
     assert "alone" in got[50] and "rights" in got[50]  # one page doesn't make a template
 
 
+def test_templates_without_names(spark):
+    """Navigation, adverts and footers of plain divisions, each on 10 of 320 pages of a host, with a recount of all hosts."""
+    page = "<body><div><a href=/a>Menu {0}</a><a href=/b>More</a></div><div><p>Story {1} on its own</p><p>Once upon a time {3}</p><p>{2}</p></div><div><p>Buy {0} now</p></div><div>Rights of {0}</div></body>"
+    rows = [(i, f"http://{'hot' if i < 320 else i % 7}.x/{i}", page.format(i % 32, i, words(random.Random(i), 25), i % 10), "", "") for i in range(340)]
+    got = site(spark, rows)
+    assert all(got[i] == f"Story {i} on its own\nOnce upon a time {i % 10}\n{words(random.Random(i), 25)}" for i in range(320))
+
+    seen, sizes = {}, Counter()
+    for host, html in {(r[1].split("/")[2], r[2]) for r in rows}:
+        sizes[host] += 1
+        for h, around, alone in html_text.subtrees(html, html_text.parse(html)):
+            seen.setdefault((host, h), {}).setdefault(around, set()).add(alone)
+    for i, url, html, *_ in rows:
+        host, drop = url.split("/")[2], set()
+        for (name, h), places in seen.items():
+            n, alone = len(places), sum(True in x for x in places.values())
+            if name == host and (alone >= 5 or (n >= 5 and n >= 0.2 * sizes[host])):
+                drop.add(h)
+        root = html_text.parse(html)
+        html_text.drop_templates(html, root, frozenset(drop))
+        assert got[i] == html_text.text_of(root)
+
+
 def test_copies_of_a_page_are_not_templates(spark):
     body = "<body><div><p>The same story on every page, word for word.</p></div></body>"
     got = site(spark, [(i, f"http://h.x/{i}", body, "", "") for i in range(30)])
@@ -192,6 +215,8 @@ def test_parsing(page, text):
         ("<article>post</article><div id=comments><article>a far longer comment of a reader</article></div>", "post"),
         ("<div>a longer post of some words</div><div id=comments><article>comment</article></div>", "a longer post of some words"),
         ("<div class=widget><main>in</main></div>x", "in"),
+        ("<p class='side-effects'>a</p><section id='related-work'>b</section><div class='search-results'>c</div><h2 id='comments-on-method'>d</h2><h2 id=related>e</h2>", "a\nb\nc\nd\ne"),
+        ("<div class='ad-slot-2'>a</div><div class='sidebar_left'>b</div><div id='cookie-notice-overlay'>c</div><div class='comment-list'>d</div><div class='share-buttons'>e</div><p>k", "k"),
         ("<div class='main-menu'>m</div><div class='site-footer'>f</div><div class=related-posts>r</div><p>a page of its own", "a page of its own"),
     ],
 )
