@@ -14,6 +14,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from tessera.config import Config
 from tessera.functions.text import normalize
 from tessera.operators import bm25, candidates, dense, encoder, evaluate, features, geo, ingest, ranker, sampling, split
 from tessera.sources import tables
-from tessera.sources.stages import cached_stage, exists
+from tessera.sources.stages import cached_stage, data_version, exists, fingerprint
 
 
 class Run:
@@ -31,11 +32,17 @@ class Run:
     def __init__(self, spark: SparkSession, data_dir: str, work_dir: str, load: Callable, c: Config):
         self.spark, self.data, self.work, self.load, self.c = spark, data_dir.rstrip("/"), work_dir.rstrip("/"), load, c
 
+    @cached_property
+    def inputs(self) -> dict:
+        """What results depend on."""
+        version = data_version(self.spark, *(self.path(n) for n in ("benchmark_items", "benchmark_queries", "train")))
+        return {"data": self.data, "version": version, "config": asdict(self.c), "encoder": getattr(self.load, "__qualname__", repr(self.load))}
+
     def path(self, name: str) -> str:
         return f"{self.data}/{name}.parquet"
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        return cached_stage(self.spark, self.work, name, {"data": self.data, "config": asdict(self.c), "encoder": getattr(self.load, "__qualname__", repr(self.load))}, make)
+        return cached_stage(self.spark, self.work, name, self.inputs, make)
 
     def corpus(self, name: str, table: str, known: DataFrame | None = None) -> DataFrame:
         """Items of a table: one row each (the first), numbered in file order, with vectors."""
@@ -74,7 +81,7 @@ class Run:
 
     def train(self, items: DataFrame) -> ranker.Ranker:
         c, spark = self.c, self.spark
-        saved = f"{self.work}/ranker-v2"
+        saved = f"{self.work}/ranker-v2-{fingerprint(self.inputs)}"
         if exists(spark, f"{saved}/leaves/_SUCCESS"):
             return ranker.Ranker.load(spark, saved)
         train = spark.read.parquet(self.path("train"))

@@ -99,6 +99,15 @@ def test_stage_is_made_once_and_redone_after_an_interruption(spark, tmp_path):
     assert len(made) == 3
 
 
+def test_version_follows_the_files(spark, tmp_path):
+    path = str(tmp_path / "t" / "x.parquet")
+    seen = set()
+    for n in (3, 4):
+        spark.range(n).write.mode("overwrite").parquet(path)
+        seen |= {stages.data_version(spark, str(tmp_path / "t")) for _ in range(2)}
+    assert len(seen) == 2
+
+
 def test_stream_encodes_each_item_once(spark, tmp_path):
     seen = []
 
