@@ -357,3 +357,55 @@ def test_licences(spark):
     assert [got[700 + i].labels for i in (7, 8, 9, 10)] == ["mit", "gpl-3", "", "bsd"]
     assert all(got[i].labels == "" for i in range(len(documents()) - 2))
     assert licences.scan(empty(spark)).count() == 0
+
+
+def best_share(words, template):
+    """The greatest share of a template's words that stand at one offset, give or take the slack, over all offsets."""
+    starts = range(-len(template), len(words))
+    return max((sum(w in words[max(0, o + p) : max(0, o + p + licences.SLACK + 1)] for p, w in enumerate(template)) / len(template) for o in starts), default=0.0)
+
+
+def test_licence_templates_equal_brute_force(spark):
+    rnd = random.Random(12)
+    known = licences.prepared(licences.TEMPLATES)
+    rows, planted = [], {}
+    for k, (label, _, text) in enumerate(licences.TEMPLATES):
+        for changed in (0, 1, 3):
+            w = text.split()
+            for at in rnd.sample(range(len(w) // 2, len(w)), min(changed, len(w) // 20)):
+                w[at] = "other"
+            planted[len(rows)] = (label, changed, k)
+            rows.append((len(rows), f"{words(rnd, 40)} {' '.join(w)} {words(rnd, 40)}", "en", "a", 1, "x", 7, "y", 1.5))
+    rows += [(1000 + i, words(rnd, 300), "en", "a", 1, "x", 7, "y", 1.5) for i in range(20)]
+    for r in licences.scan(frame(spark, rows)).collect():
+        found = set(filter(None, r.labels.split(",")))
+        w = licences.words_of(rows[r.doc_id][1]) if r.doc_id < 1000 else []
+        text = f" {' '.join(w)} "
+        may = {t.label for t in known if best_share(w, t.words) >= licences.MIN_SCORE and all(x in text for x in t.keys)}
+        assert found <= may | set(licences.BASE.values()), (r.doc_id, found, may)
+        if r.doc_id >= 1000:
+            assert not found and r.score == 0
+            continue
+        label, changed, k = planted[r.doc_id]
+        if not changed:
+            assert label in found and r.score == 1.0, (label, r)
+        if all(x in text for x in known[k].keys):
+            assert label in found, (label, changed, r)
+    siblings = licences.scan(frame(spark, [(i, t, "en", "a", 1, "x", 7, "y", 1.5) for i, t in enumerate((licences.texts.BSD_2, licences.texts.BSD_3))])).collect()
+    assert [r.labels for r in sorted(siblings)] == ["bsd,bsd-2", "bsd,bsd-3"]
+
+
+def test_licences_take_one_pass_over_many_base_phrases():
+    import time
+
+    w = "under the mit license".split() * 60_000
+    start = time.monotonic()
+    places, labels = licences._base_places(w)
+    assert places == list(range(0, 240_000, 4)) and labels == {"mit"} and time.monotonic() - start < 5
+    assert licences._base_places("the mit license".split()) == ([], set())
+
+
+def test_licences_of_given_texts(spark):
+    own = [("house", ("house rules",), "these are the house rules of this building and nobody may change any of them")]
+    rows = [(1, "See: these are the House Rules of this building, and nobody may change any of them!", "en", "a", 1, "x", 7, "y", 1.5), (2, licences.texts.MIT, "en", "a", 1, "x", 7, "y", 1.5)]
+    assert {r.doc_id: (r.labels, r.score) for r in licences.scan(frame(spark, rows), templates=own).collect()} == {1: ("house", 1.0), 2: ("", 0.0)}
