@@ -23,15 +23,17 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.runtime import table
 
-#: Tokens a block and blocks a group.
+#: Tokens a block, blocks a group, and neighbouring blocks that a task reads of one file.
 BLOCK = 1 << 17
 GROUP = 1024
+RANGE_BLOCKS = 256
 
 
 def default_vocabulary() -> str:
@@ -93,16 +95,42 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
 
 
 def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK * 4) -> DataFrame:
-    """Blocks (file, block, data, ids null) of flat token files; each file must fit a task (2 GB at most)."""
+    """Blocks (file, block, data, ids null) of flat token files of any size, each block read by its byte range.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = content.as_py()
-                for k in range(0, max(len(data), 1), block_bytes):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k // block_bytes], pa.int64()), pa.array([data[k : k + block_bytes]], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
+    ``block_bytes`` is a multiple of the bytes of a token. Spark lists the files and their lengths without reading them;
+    the ranges are dealt over the tasks, so that a file isn't bound to one. Paths are those that pyarrow opens: shared
+    folders, HDFS and object stores. An empty file is one empty block.
+    """
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, data binary, ids array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, None
+        try:
+            for batch in batches:
+                for file, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if file != name:
+                        if held is not None:
+                            held.close()
+                        name, held = file, _opened(file)
+                    held.seek(block * block_bytes)
+                    data = held.read(block_bytes)
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.list_(pa.int64()))], ["file", "block", "data", "ids"])
+        finally:
+            if held is not None:
+                held.close()
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    last = F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / block_bytes).cast("long")
+    ranges = files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    # runs of neighbouring blocks stay in one task
+    dealt = ranges.repartition("file", F.floor(F.col("block") / RANGE_BLOCKS)).sortWithinPartitions("file", "block")
+    return dealt.mapInArrow(run, "file string, block long, data binary, ids array<long>")
+
+
+def _opened(path: str) -> pa.NativeFile:
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[5:].lstrip("/"))
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
 
 
 def scan(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
