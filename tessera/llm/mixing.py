@@ -9,8 +9,9 @@ Targets: sources weigh 3, 1, 2, repeating, in code-point order with null last, a
 target exceeds twice its source, the excess goes to the others by weight (water filling, solved in closed form over
 sources sorted by capacity per weight). Each of the two passes over a source has a budget. Documents of more than 1 %
 of their source are taken first, longest first, while they fit; the others follow in md5 order, each taken when its
-middle lies within what is left. A source so misses its target by half of one of its shorter documents, unless it has
-too few of them. No document is taken more than twice.
+middle lies within what is left. Without ``skip``, a large document that doesn't fit ends the taking of large ones, so
+lopsided sources miss their targets; with it, a source misses its target by half of one of its shorter documents, or, if
+it has too few of them, by less than the shortest large one that was left. No document is taken more than twice.
 
 Running sums never gather a source in one task: documents fall into 4096 ranges of their md5 per source, range totals
 are summed (a table bounded by sources x 4097), and a window runs within each range.
@@ -65,8 +66,11 @@ def targets(sized: DataFrame) -> DataFrame:
     return src.select("s", "n", "b", F.when(full, (F.col("n") * CAP).cast("double")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False) -> DataFrame:
-    """Per row: d (id), s, z (size), source_size, target, copies and their ``times``; with ``keep`` also the row as ``__row``."""
+def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: bool = False, skip: bool = False) -> DataFrame:
+    """Per row: d (id), s, z (size), source_size, target, copies and their ``times``; with ``keep`` also the row as ``__row``.
+
+    With ``skip``, large documents that don't fit are stepped over; without, none after the first of them is taken.
+    """
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if keep else []
     # k is the source as a key without nulls, so that joins on it keep the partitions of the windows
     key = F.coalesce(F.concat(F.lit("s"), F.col("s")), F.lit("n"))
@@ -91,8 +95,14 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
         return x.withColumn("at", F.coalesce(F.sum("z").over(inner), F.lit(0)))
 
     known = placed(sizes, t)
-    fits = [F.max(F.when(F.col("at") + F.col("z") <= F.col(f"budget{c}"), F.col("at") + F.col("z"))).alias(f"large{c}") for c in range(CAP)]
-    heads = numbered(known.filter("g = ''")).groupBy("k").agg(*fits)  # over 100 rows a source at most
+    heads = numbered(known.filter("g = ''"))  # fewer than 100 / LARGE_PERCENT rows a source
+    if skip:
+        heads = heads.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "z"))).alias("large"), *[F.first(f"budget{c}").alias(f"own{c}") for c in range(CAP)])
+        heads = heads.select("k", *[_stepping("large", f"own{c}").alias(f"step{c}") for c in range(CAP)])
+        heads = heads.select("k", *[F.col(f"step{c}")[x].alias(f"{n}{c}") for c in range(CAP) for n, x in (("large", "total"), ("starts", "starts"))])
+    else:
+        fits = [F.max(F.when(F.col("at") + F.col("z") <= F.col(f"budget{c}"), F.col("at") + F.col("z"))).alias(f"large{c}") for c in range(CAP)]
+        heads = heads.groupBy("k").agg(*fits)
     t = table(t.join(heads, "k", "left"), "sources")
     run = Window.partitionBy("k").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     sums = known.filter("g <> ''").groupBy("k", "g").agg(F.sum("z").alias("gz"))
@@ -102,7 +112,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     for c in range(CAP):
         head = F.coalesce(F.col(f"large{c}"), F.lit(0))
         at = F.col("at") + F.when(F.col("g") == "", 0).otherwise(head + F.coalesce(F.col("base"), F.lit(0)))
-        fit = F.when(F.col("g") == "", at + F.col("z") <= head).otherwise(at + F.col("z") / 2 <= F.col(f"budget{c}"))
+        large_fit = at + F.col("z") <= head
+        if skip:  # a large document's place follows from those before it that were taken
+            start = F.try_element_at(F.col(f"starts{c}"), F.col("at"))
+            at, large_fit = F.when(F.col("g") == "", start).otherwise(at), start.isNotNull()
+        fit = F.when(F.col("g") == "", large_fit).otherwise(at + F.col("z") / 2 <= F.col(f"budget{c}"))
         # the share of the source's demand before the middle of this copy, and the time when that share is reached
         u = F.least(F.lit(1.0), (c * F.col("source_size") + at + F.col("z") / 2) / F.when(F.col("target") > 0, F.col("target")))
         root = F.sqrt((1 - F.col("b")) * (1 - F.col("b")) + 4 * F.col("b") * u)
@@ -111,9 +125,24 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     return x.select("d", "s", "z", "source_size", "target", F.size(times).alias("copies"), times.alias("times"), *(["__row"] if keep else []))
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def _stepping(rows: str, budget: str) -> Column:
+    """(total, starts): the words of those rows that fit, one after the other, and per words before a row its start.
+
+    ``rows`` is an array of (at, z), ordered; a row is known by ``at``, the words of all rows before it.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.create_map().cast("map<bigint,bigint>").alias("starts"))
+
+    def step(done: Column, row: Column) -> Column:
+        fits = done["total"] + row["z"] <= F.col(budget)
+        more = F.map_concat(done["starts"], F.create_map(row["at"], done["total"]))
+        return F.struct((done["total"] + F.when(fits, row["z"]).otherwise(0)).alias("total"), F.when(fits, more).otherwise(done["starts"]).alias("starts"))
+
+    return F.aggregate(F.col(rows), start, step)
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", skip: bool = False) -> DataFrame:
     """One row per document with the words that the mix takes from it, range-sorted by its first position."""
-    p = plan(docs, id_col, text, source)
+    p = plan(docs, id_col, text, source, skip=skip)
     return p.select(
         F.col("d").alias("doc_id"),
         F.col("z").alias("size"),
@@ -124,8 +153,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", skip: bool = False) -> DataFrame:
     """The mixed corpus: rows of ``docs`` repeated as taken, range-sorted by training position."""
-    p = plan(docs, id_col, text, source, keep=True)
+    p = plan(docs, id_col, text, source, keep=True, skip=skip)
     copies = p.select("__row", "d", F.posexplode("times").alias("copy", "at"))
     return copies.orderBy("at", "d", "copy").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import base64
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -239,6 +240,41 @@ def test_mixing_meets_targets(spark):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({g.doc_id: g.taken // g.size for g in got if g.taken})
 
 
+def test_mixing_steps_over_what_does_not_fit(spark):
+    rnd = random.Random(21)
+    sizes = {"a": [60] + [5] * 8, "b": [40], "c": [7, 7, 7], "d": [rnd.randrange(1, 90) for _ in range(10)], "e": [rnd.choice([3, 20, 60]) for _ in range(400)], "f": [900] + [2] * 30}
+    rows, source = [], {}
+    for s, zs in sizes.items():
+        for z in zs:
+            source[len(rows)] = s
+            rows.append((len(rows), words(rnd, z), "en", s, 1, "x", 7, "y", 1.5))
+    df = frame(spark, rows)
+    got = sorted(mixing.digest(df, skip=True).collect())
+    for s, zs in sizes.items():
+        mine = [g for g in got if source[g.doc_id] == s]
+        total, target = sum(g.taken for g in mine), mine[0].target
+        large = [z for z in zs if z * 100 > sum(zs)]
+        # per pass: half of a short document, or less than the shortest large one left out
+        miss = 0
+        for c in range(2):
+            budget, left = min(max(target - c * sum(zs), 0), sum(zs)), []
+            n = 0
+            for z in sorted(large, reverse=True):
+                if n + z <= budget:
+                    n += z
+                else:
+                    left.append(z)
+            short = [z for z in zs if z not in large]
+            miss += max(short, default=0) / 2 if sum(short) >= budget - n else min([budget - n - sum(short), *left])
+        assert abs(total - target) <= miss + 1e-6, (s, total, target, miss)
+        assert all(g.taken in (0, g.size, 2 * g.size) for g in mine)
+    assert sorted(mixing.digest(df.repartition(5), skip=True).collect()) == got
+    mixed = mixing.mix(df, skip=True)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({g.doc_id: g.taken // g.size for g in got if g.taken})
+    assert mixing.digest(empty(spark), skip=True).count() == 0
+    assert len(mixing.digest(frame(spark), skip=True).collect()) == len(documents())
+
+
 def test_mixing_follows_the_schedule(spark):
     rows = [(i, "a b c d", "en", f"s{i % 3}", 1, "x", 7, "y", 1.5) for i in range(900)]
     order = [r.source for r in mixing.mix(frame(spark, rows)).collect()]
@@ -286,6 +322,30 @@ def test_flat_files(spark, tmp_path):
     assert out == {"a": [(2, True), (0, True), (5, True), (2, False)], "b": [(0, True)], "d": [(29, False)]}
 
 
+def test_flat_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(token_counts, "RANGE_BLOCKS", 2)
+    monkeypatch.setattr(token_counts, "GROUP", 4)
+    rnd = random.Random(3)
+    want = []
+    for n in ("one file", "b%20c"):
+        tokens = [rnd.randrange(40) for _ in range(5000)]
+        np.array(tokens, "<u2").tofile(tmp_path / f"{n}.bin")
+        run = 0
+        for t in tokens:
+            if t == 0:
+                want.append((n, run, True))
+                run = 0
+            else:
+                run += 1
+        want += [(n, run, False)] * (run > 0)
+    blocks = token_counts.read_files(spark, str(tmp_path), 64)
+    assert blocks.select("file", F.length("data").alias("n")).groupBy("file").agg(F.sum("n").alias("n")).select("n").collect() == [(10_000,)] * 2
+    got = token_counts.scan(blocks, 0).collect()
+    assert sorted((os.path.basename(r.file)[:-4], r.n_tokens, r.terminated) for r in got) == sorted(want)
+
+
 # --- SentencePiece
 
 
