@@ -40,7 +40,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out by their source's target, in training order."""
     with scope(spark, "pipeline-mixing"):
-        return mixing.mix(docs)
+        return mixing.mix(docs, skip=True)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
