@@ -85,6 +85,16 @@ def nation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("source", "target")
 
 
+def train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as training rows: the order's priority as text, the customer's nation, a part and its supplier's nation."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderpriority").alias("search_query"))
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("bigint").alias("search_location_id"))
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("item_location_id"))
+    x = li.join(o, "l_orderkey").join(c, "o_custkey").join(s, "l_suppkey")
+    return x.select("search_query", "search_location_id", F.col("l_partkey").cast("string").alias("item_id"), "item_location_id", "l_orderkey", "l_linenumber", "l_suppkey")
+
+
 def role_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target): the roles of neighbouring turns of a conversation."""
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")

@@ -251,4 +251,13 @@ SELECT k, round(avg(hits::double / total), 6) AS recall FROM r GROUP BY k""",
     "submission_rows": f"WITH {_ANSWER} SELECT query_id, answer FROM answer",
     "submission_violations": "SELECT rule, 0::bigint AS violations FROM (SELECT unnest(['answers_of_unknown_queries', 'queries_without_answer', 'repeated_queries', 'wrong_number_of_items', 'repeated_items', 'unknown_items']) AS rule)",
     "submission_stats": f"WITH {_ANSWER}, n AS (SELECT len(string_split(answer, ' ')) AS n FROM answer) SELECT count(*) AS queries, round(avg(n), 6) AS mean_candidates, min(n)::int AS min_candidates, max(n)::int AS max_candidates FROM n",
+    "train_pairs": f"""WITH rows AS (SELECT {norm('o_orderpriority')} AS text, c_nationkey::bigint AS source, l_partkey, s_nationkey::bigint AS target, l_orderkey, l_linenumber, l_suppkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+firsts AS (FROM rows QUALIFY row_number() OVER (PARTITION BY text, source, l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, target) = 1)
+SELECT source, target, count(*) AS pairs FROM firsts GROUP BY source, target""",
+    "mean_pooling": """WITH cells AS (SELECT vec_id // 8 AS text_id, unnest(embedding)::double AS v, unnest(range(len(embedding))) AS place FROM embeddings WHERE vec_id % 3 <> 0),
+means AS (SELECT text_id, place::int AS place, avg(v) AS m FROM cells GROUP BY text_id, place),
+norms AS (SELECT text_id, sqrt(sum(m * m)) AS n FROM means GROUP BY text_id)
+SELECT text_id, place, round(CASE WHEN n > 0 THEN m / n ELSE m END, 6) AS value FROM means JOIN norms USING (text_id)""",
+    "features_not_finite": "SELECT 0::bigint AS violations",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions.text import distinct_tokens, field_tokens, key_id, normalize, passage_prompt, query_prompt, tokenize
+from tessera.functions.vectors import l2_normalize, mean_pool
 from tessera.operators import bm25, candidates, dense, evaluate, features, geo, ingest, ranker, sampling, split
 from tessera.operators.topk import best_docs
 from tessera.plans import fixtures as fx
@@ -271,6 +272,28 @@ def lambdamart_topk(s: SparkSession, d: str) -> DataFrame:
     return ranker.final(model.score(f), 50).select("query_id", "doc", F.round("model_score", 6).alias("model_score"), "rank")
 
 
+def train_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Counts of (source, target) over the distinct pairs of key and item of all training rows."""
+    order = ["l_orderkey", "l_linenumber", "l_suppkey", "item_location_id"]
+    pairs = geo.pairs_of_train(fx.train(s, d), ("search_query", "search_location_id"), order)
+    return pairs.groupBy("source", "target").agg(F.count("*").alias("pairs"))
+
+
+def mean_pooling(s: SparkSession, d: str) -> DataFrame:
+    """Unit vectors of eight neighbouring embeddings each, taken as the tokens of a text, every third one masked."""
+    v = fx.read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("text_id"), "vec_id", "embedding")
+    rows = F.sort_array(F.collect_list(F.struct("vec_id", "embedding")))
+    t = v.groupBy("text_id").agg(rows.alias("x"))  # eight rows a group
+    mask = F.transform("x", lambda r: F.when(r["vec_id"] % 3 == 0, 0).otherwise(1))
+    pooled = l2_normalize(mean_pool(F.transform("x", lambda r: r["embedding"]), mask))
+    return t.select("text_id", F.posexplode(pooled).alias("place", "value")).select("text_id", "place", F.round("value", 6).alias("value"))
+
+
+def features_not_finite(s: SparkSession, d: str) -> DataFrame:
+    """How many of the candidates' rows have an infinite or not-a-number feature."""
+    return features.violations(_features(s, d)[-1]).agg(F.count("*").alias("violations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -278,6 +301,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         holdout_split, fit_split, ranker_queries, split_disjoint, bm25_idf, bm25_postings, bm25_topk, bm25_fielded_topk, bm25_base_topk,
         bm25_geo_topk, bm25_padded_topk, transition_edges, transition_roles, transition_top3, dense_global_topk, dense_exact_topk,
         dense_transition_topk, candidate_union, rrf_fusion, features_39, sample_v1, hard_negatives, sample_v2, recall_at_k,
-        submission_rows, submission_violations, submission_stats, lambdamart_topk,
+        submission_rows, submission_violations, submission_stats, train_pairs, mean_pooling, features_not_finite, lambdamart_topk,
     )
 }

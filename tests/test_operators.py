@@ -205,3 +205,13 @@ def test_answer_rules(spark):
     assert found == {"answers_of_unknown_queries": 1, "queries_without_answer": 1, "repeated_queries": 1, "wrong_number_of_items": 2, "repeated_items": 1, "unknown_items": 1}
     with pytest.raises(ValueError, match="repeated_queries"):
         evaluate.check(bad, queries, items, 3)
+
+
+def test_features_that_are_not_finite(spark):
+    from tessera.config import FEATURES
+    from tessera.operators import features
+
+    fine = [("q", i, *[float(i)] * len(FEATURES)) for i in range(2)] + [("q", 2, *[None] * len(FEATURES))]
+    bad = [("q", 3 + i, *[x if j == k else 1.0 for j in range(len(FEATURES))]) for i, (k, x) in enumerate([(0, float("inf")), (5, float("-inf")), (len(FEATURES) - 1, float("nan"))])]
+    df = spark.createDataFrame(fine + bad, "query_id string, doc long, " + ", ".join(f"{n} double" for n in FEATURES))
+    assert sorted(r.doc for r in features.violations(df).collect()) == [3, 4, 5]
