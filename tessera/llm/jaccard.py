@@ -13,12 +13,16 @@ pattern. No link is lost: linked sets agree on more than m blocks, these rank al
 has m weaker ones below it on either side.
 
 Before that, a filter leaves out most sets. Of a fixed share of all hashes (one and a half times what may differ), each
-shingle is counted: one that occurs in no second set is a difference to every other set. Sets with more of those than
-may differ link with nothing and aren't sketched.
+shingle is looked up: one that occurs in no second set is a difference to every other set. Sets with more of those than
+may differ link with nothing. Among the sets that stay, the same is asked of all shingles, so that sets which merely
+share a passage don't go on; else their chance meetings would chain them into families that grow faster than the input.
+Both are sums by key, exact at any number of shingles.
 
 Sets that share a block form families (components over one star per block). Every family is verified in tiles: its
 members fall into chunks of bounded text by hash, and each pair of chunks is a task that intersects sets exactly and
-returns only a spanning forest of the links. Links so found give the components. No pairs are emitted within a group;
+returns only a spanning forest of the links. Families of several chunks first meet a few pivots, round by round: members
+of the component that grows from these needn't meet each other. Tasks run in waves, none of which ships more text than about the whole
+input's, so that disk doesn't grow with the square of a family. Links so found give the components. No pairs are emitted within a group;
 exact copies are one set throughout, and of a bucket only its smallest member and its stars are ever joined: a first
 pass over the blocks finds those that several sets share, a bitmap of fixed size lets a second pass send only these.
 Keys, classes and edges are written as tables, so lost executors redo only what they held.
@@ -32,12 +36,12 @@ an empty result. Lower-casing touches A-Z only; texts are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.names import fresh
@@ -53,6 +57,8 @@ SPARE = 0.75
 #: Bits of a block, and shingles that a chunk of a family holds on average at most.
 BLOCK_BITS = 4096
 CHUNK = 1 << 16
+#: Members of a family of several chunks that all others meet first.
+PIVOTS = 16
 
 _U = np.uint64
 _MULS = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
@@ -165,7 +171,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 
 def part_of(s: np.ndarray, share: float) -> np.ndarray:
     """The shingles of a fixed share of all hashes."""
-    return s[mix(s, 77) < _U(int(share * 2**64))]
+    return s if share >= 1 else s[mix(s, 77) < _U(int(share * 2**64))]
 
 
 def sets_of(docs: DataFrame, words: int, share: float) -> DataFrame:
@@ -180,6 +186,23 @@ def sets_of(docs: DataFrame, words: int, share: float) -> DataFrame:
     return docs.mapInArrow(run, "d long, n long, k1 long, k2 long, part array<long>")
 
 
+def alone(held: DataFrame) -> DataFrame:
+    """(k1, alone): of rows (k1, h), the number of a set's shingles that no second set has; no row where there is none."""
+    one = held.groupBy("h").agg(F.min("k1").alias("k1"), F.max("k1").alias("last")).filter("k1 = last")
+    return one.groupBy("k1").agg(F.count("*").alias("alone"))
+
+
+def able_of(sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The rows (k1, node, n) of ``sets`` without those that have too many shingles of their own among ``held`` (k1, h)."""
+    x = sets.join(alone(held), "k1", "left").filter(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))
+    return x.select("k1", "node", "n")
+
+
+def rows_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (d, t) whose id may be a ``node``."""
+    return bitmaps.may_hold(texts.withColumn("h", F.xxhash64("d")), bitmaps.build(nodes.select(F.xxhash64("node").alias("h")), "h"), "h").select("d", "t")
+
+
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(k1, keys) of rows (d, t): sketch blocks, once a task for equal sets."""
 
@@ -236,24 +259,51 @@ def _links(sets: list[np.ndarray], names: list[int], left: list[int], right: lis
     return forest
 
 
+def _by_pivots(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> tuple[list[DataFrame], DataFrame]:
+    """Tables of links that a few members of each family of several chunks have, and (family, node, n, settled).
+
+    All open members meet ``PIVOTS`` of their family; those that so come into its largest component are settled and need
+    not meet each other. The next round draws the pivots from there, while rounds settle half of what is open.
+    """
+    links, state, before = [], members.withColumn("settled", F.lit(False)), 0
+    while True:
+        large = state.filter(F.col("total") > CHUNK)
+        left = large.filter("NOT settled").count()
+        if not left or links and 2 * left > before:
+            return links, state
+        before = left
+        drawn = Window.partitionBy("family").orderBy(F.xxhash64("k1", F.lit(len(links))), "node")
+        pivots = (large.filter("settled") if links else large).withColumn("at", F.row_number().over(drawn)).filter(F.col("at") <= PIVOTS)
+        pivots = table(pivots.select("family", "node", "n", "total"), "pivots")
+        # slices of a family are no shorter than its pivots, each of which goes to all of them
+        slices = pivots.groupBy("family").agg(F.ceil(F.first("total") / F.greatest(F.sum("n"), F.lit(CHUNK))).cast("int").alias("slices"))
+        x = found.join(pivots.select("node"), "node").join(slices, "family").withColumn("c2", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("chunk", F.lit(-1))
+        y = found.join(large.filter("NOT settled").select("node").join(pivots, "node", "left_anti"), "node").join(slices, "family")
+        y = y.withColumn("c2", F.pmod(F.xxhash64("k1", "k2", F.lit(6)), F.col("slices")).cast("int")).withColumn("chunk", F.col("c2"))
+        tiles = x.unionByName(y).select("family", F.lit(-1).alias("c1"), "c2", "chunk", "k1", "k2", "node", "t")
+        links.append(table(verified(tiles), "links"))
+        named = components(reduce(DataFrame.union, links))
+        own = table(members.join(named, "node", "left"), "own")
+        main = own.filter("component is not null").groupBy("family", "component").agg(F.sum("n").alias("size"))
+        main = main.groupBy("family").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+        state = table(own.join(main, "family", "left").select(*members.columns, F.coalesce(F.col("component") == F.col("main"), F.lit(False)).alias("settled")), "state")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
     share = min(1.0, 1.5 * (100 - percent) / 100)
     parts = sets_of(texts, words, share)
-    # a shingle that no other set has is a difference to each: a set with too many of them links with nothing
-    shared = parts.select("k1", F.explode("part").alias("h")).groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).filter("a < b")
-    common = bitmaps.may_hold(parts.select("d", "n", "k1", "k2", F.explode_outer("part").alias("h")), bitmaps.build(shared, "h"), "h")
-    common = common.groupBy("k1", "k2").agg(F.count("*").alias("shared"))
-    size = F.size("part").cast("long")
-    ids = table(parts.select(F.col("d").alias("doc_id"), "n", "k1", "k2", size.alias("part")), "ids")
+    ids = table(parts.select(F.col("d").alias("doc_id"), "n", "k1", "k2"), "ids")
     # one node per set: the smallest id among its rows
-    classes = ids.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("part").alias("part"), F.count("*").alias("rows"))
+    classes = ids.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
     classes = table(classes, "classes")
-    able = classes.join(common, ["k1", "k2"], "left").filter(100 * (F.col("n") - F.col("part") + F.coalesce(F.col("shared") / F.col("rows"), F.lit(0))) >= percent * F.col("n"))
-    able = table(able.select("k1", "node").filter("node is not null"), "able")
+    # a shingle that no other set has is a difference to each: a set with too many of them links with nothing
+    able = table(able_of(classes.filter("node is not null"), parts.select("k1", F.explode("part").alias("h")), percent), "some")
+    whole = sets_of(rows_of(texts, able), words, 1.0)
+    able = table(able_of(able, whole.select("k1", F.explode("part").alias("h")), percent), "able")
 
-    chosen = bitmaps.may_hold(texts.withColumn("h", F.xxhash64("d")), bitmaps.build(able.select(F.xxhash64("node").alias("h")), "h"), "h").select("d", "t")
+    chosen = rows_of(texts, able)
     held = sketches(chosen, words, percent).select("k1", F.explode("keys").alias("key"))
     live = held.groupBy("key").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low < high").select("key", "low")
     live = table(live, "live")
@@ -262,12 +312,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     family = table(components(stars).withColumnsRenamed({"node": "k1", "component": "family"}), "families")
 
     members = classes.filter("node is not null").join(family, "k1").select("family", "node", "k1", "k2", "n")
-    chunks = members.groupBy("family").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    members = members.join(chunks, "family").withColumn("chunk", F.pmod(F.xxhash64("k1", "k2", F.lit(5)), F.col("chunks")).cast("int"))
-    found = texts.withColumnRenamed("d", "node").join(members, "node")
-    # a chunk meets each chunk of its family once
-    tiled = found.select("family", "k1", "k2", "node", "t", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    tiled = tiled.select("family", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "k1", "k2", "node", "t")
+    members = table(members.join(members.groupBy("family").agg(F.sum("n").alias("total")), "family"), "members")
+    found = rows_of(texts, members).withColumnRenamed("d", "node").join(members, "node")
+    found = table(found.select("family", "node", "k1", "k2", "n", "t"), "texts")
 
     def verify(key: tuple, batch: pa.Table) -> pa.Table:
         _, c1, c2 = (x.as_py() for x in key)
@@ -284,8 +331,28 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         forest = _links([x[0] for x in order], [x[1] for x in order], left, right, percent) if left and right else []
         return pa.table({"a": pa.array([x[0] for x in forest], pa.int64()), "b": pa.array([x[1] for x in forest], pa.int64())})
 
-    links = table(tiled.groupBy("family", "c1", "c2").applyInArrow(verify, "a long, b long"), "links")
-    named = components(links)
+    kind = "a long, b long"
+    links, state = _by_pivots(members, found, lambda x: x.groupBy("family", "c1", "c2").applyInArrow(verify, kind))
+    rest = F.coalesce(F.sum(F.when(~F.col("settled"), F.col("n"))), F.lit(0))
+    family = state.groupBy("family").agg(F.sum("n").alias("total"), rest.alias("rest")).filter("rest > 0")
+    small = F.col("total") <= CHUNK
+    family = family.select("family", *[F.when(small, F.lit(v)).otherwise(F.ceil(x / CHUNK)).cast("int").alias(c) for c, v, x in (("open", 1, F.col("rest")), ("done", 0, F.col("total") - F.col("rest")))])
+    # open members lie in the first chunks, those of the family's settled component in the others
+    chunk = F.pmod(F.xxhash64("k1", "k2", F.lit(5)), F.when(F.col("settled") & (F.col("done") > 0), F.col("done")).otherwise(F.col("open"))).cast("int")
+    state = state.join(family, "family").withColumn("late", F.col("settled") & (F.col("done") > 0))
+    state = table(state.select("node", "n", "late", "open", (F.col("open") + F.col("done")).alias("chunks"), (chunk + F.when(F.col("late"), F.col("open")).otherwise(0)).alias("chunk")), "chunks")
+    shipped = state.agg(F.sum(F.col("n") * F.when(F.col("late"), F.col("open")).otherwise(F.col("chunks")))).first()[0] or 0
+    waves = max(1, -(-shipped // max(1, ids.agg(F.sum("n")).first()[0] or 0)))
+
+    def tiles(wave: int) -> DataFrame:
+        """A chunk meets each chunk of its family once, settled ones only open ones: the rows of one wave's meetings."""
+        mine = lambda o: F.pmod(F.xxhash64("family", F.least("chunk", o), F.greatest("chunk", o)), F.lit(waves)) == wave
+        others = F.sequence(F.lit(0), F.when(F.col("late"), F.col("open")).otherwise(F.col("chunks")) - 1)
+        x = found.drop("n").join(state, "node").withColumn("other", F.explode(F.filter(others, mine)))
+        return x.select("family", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "k1", "k2", "node", "t")
+
+    links += [table(tiles(w).groupBy("family", "c1", "c2").applyInArrow(verify, kind), "links") for w in range(waves)]
+    named = components(reduce(DataFrame.union, links))
     by_class = classes.join(named, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component"))
     out = ids.join(by_class, ["k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -110,6 +110,38 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, words_, percent, chunk):
     assert kept == {d for d, (n, c) in got.items() if n == 0 or c == d}
 
 
+def test_jaccard_families_stay_near_copies(spark, monkeypatch):
+    """Texts that only share passages with others never reach a family; a large family ships no more than the input at once."""
+    rnd = random.Random(3)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(30) for _ in range(4)]
+    shares = [" ".join(sum(([*p, *fresh(18)] for p in rnd.sample(passages, 3)), fresh(20))) for _ in range(120)]
+    base = fresh(150)
+    copies = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 5)):
+            w[rnd.randrange(len(w))] = fresh(1)[0]
+        copies.append(" ".join(w))
+    rows = list(enumerate(shares + copies))
+    tables, ships = {}, []
+    real = jaccard.table
+
+    def table(df, name, folder=None):
+        tables.setdefault(name, []).append(real(df, name, folder))
+        return tables[name][-1]
+
+    monkeypatch.setattr(jaccard, "table", table)
+    monkeypatch.setattr(jaccard, "CHUNK", 300)
+    arrow = type(spark.range(1).groupBy("id")).applyInArrow
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "applyInArrow", lambda self, f, kind: ships.append(self._df.agg({"t": "count"}).first()[0]) or arrow(self, f, kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(df, words=5, percent=80).collect()}
+    assert got == brute_links(rows, 5, 80)
+    assert tables["families"][0].count() <= len(copies)
+    assert len(ships) > 1 and max(ships) <= 2 * len(rows)
+
+
 def test_jaccard_edges(spark):
     out = jaccard.link(frame(spark))
     assert out.count() == len(documents())
