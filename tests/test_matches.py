@@ -2,12 +2,15 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tessera.config import Config, Field
 from tessera.functions.text import field_tokens, normalize
-from tessera.operators import bm25
+from tessera.operators import bm25, matches
+from tessera.operators.topk import best_docs
+from tessera.plans import queries as plan
 
 C = Config(fields=(Field("title", 4.0), Field("params", 1.0, 12), Field("description", 0.4, 30)))
 SIGNALS = [(1, 2, 0.5), (2, 1, 0.25), (3, 1, 0.75)]
@@ -32,6 +35,32 @@ def rows(df, *cols):
     return sorted(tuple(round(v, 5) if isinstance(v, float) else str(v) for v in (r[c] for c in cols)) for r in df.collect())
 
 
+@pytest.mark.parametrize(("repeat", "shipped", "cells"), [(False, 32 << 20, 1 << 20), (False, 1, 30), (True, 1, 30)])
+def test_search_equals_joins(spark, monkeypatch, repeat, shipped, cells):
+    monkeypatch.setattr(matches, "SHIPPED", shipped)
+    monkeypatch.setattr(matches, "CELLS", cells)
+    items, queries, signals = tables(spark, repeat)
+    if shipped == 1 and not repeat:
+        queries = queries.limit(4)
+    terms = bm25.query_terms(queries, C)
+    lexical = bm25.lexical(bm25.postings(items, C, terms), terms, C).cache()
+    m = matches.Matches(items, queries, C)
+    assert m.single == (not repeat)
+    for boost, edges in ((None, None), ("plain", None), ("geography", signals)):
+        scored = lexical.withColumn("score", F.round("lexical", 6)) if boost is None else bm25.boosted(bm25.with_places(lexical, queries, items, edges), C, boost == "geography")
+        for k in (7, 500):
+            assert rows(m.best(k, boost, edges), "query_id", "doc", "score", "rank") == rows(best_docs(scored, k), "query_id", "doc", "score", "rank")
+    pairs = queries.select("query_id").crossJoin(items.filter("doc % 3 = 0").select("doc"))
+    assert rows(m.lexical(pairs), "query_id", "doc", "lexical") == rows(lexical.filter("doc % 3 = 0"), "query_id", "doc", "lexical")
+
+
+def test_search_shuffles_no_pairs(spark):
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    folder = "/root/testdata/sf0.001"
+    for q in (plan.bm25_fielded_topk, plan.bm25_geo_topk, plan.bm25_topk):
+        assert not any(x in plan_of(q(spark, folder)) for x in ("Join", "HashAggregate"))
+
+
 def test_postings_read_texts_once(spark):
     items, _, _ = tables(spark)
     seen = spark.sparkContext.accumulator(0)
