@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from tessera.config import Config, Field
 from tessera.functions.text import field_tokens, normalize
-from tessera.operators import bm25, matches
+from tessera.operators import bm25, matches, passages
 from tessera.operators.topk import best_docs
 from tessera.plans import queries as plan
 
@@ -82,3 +82,17 @@ def test_tokens_of_a_part_of_the_text(spark):
         wrong = df.filter(field_tokens("t", n) != F.regexp_extract_all(F.substring(plain, 1, n), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
         assert wrong.count() == 0
     assert df.filter(normalize("t") != plain).count() == 0
+
+
+@pytest.mark.parametrize("shipped", [1, 32 << 20])
+def test_passages_equal_all_pairs(spark, monkeypatch, shipped):
+    monkeypatch.setattr(passages, "SHIPPED", shipped)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab \n𝒳é") for _ in range(rnd.choice([0, 3, 30, 200]))) for _ in range(60)] + [None, ""]
+    cut = lambda t: t[(a := rnd.randrange(len(t))) : a + rnd.choice([1, 6, 9, 20, 40, 90])]
+    found = ["", "b a", None, "absent passage that is long enough"] + [cut(rnd.choice([t for t in texts if t])) for _ in range(6 if shipped == 1 else 60)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc long, text string").repartition(3)
+    ps = spark.createDataFrame([(str(i), p) for i, p in enumerate(found)], "query_id string, text string")
+    got = sorted(tuple(r) for r in passages.containing(docs, ps).collect())
+    want = sorted((str(i), d) for i, p in enumerate(found) for d, t in list(enumerate(texts)) + [(0, texts[0])] if p is not None and t is not None and p in t)
+    assert got == want
