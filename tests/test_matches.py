@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from tessera.config import Config, Field
 from tessera.functions.text import field_tokens, normalize
-from tessera.operators import bm25, matches, passages
+from tessera.operators import bm25, geo, matches, passages
 from tessera.operators.topk import best_docs
 from tessera.plans import queries as plan
 
@@ -96,3 +96,15 @@ def test_passages_equal_all_pairs(spark, monkeypatch, shipped):
     got = sorted(tuple(r) for r in passages.containing(docs, ps).collect())
     want = sorted((str(i), d) for i, p in enumerate(found) for d, t in list(enumerate(texts)) + [(0, texts[0])] if p is not None and t is not None and p in t)
     assert got == want
+
+
+def test_pairs_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    pairs = spark.range(100).select((F.col("id") % 3).alias("source"), F.udf(count, "long").asNondeterministic()(F.col("id") % 2).alias("target"))
+    geo.edges(pairs).collect()
+    assert seen.value == 100
